@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, quality, token_counts
+from . import bpe, chat, near_dup, quality, token_counts
 from .common import table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
     return counted.withColumn("over_limit", F.col("n_tokens") > OVER_LIMIT)
@@ -69,6 +73,7 @@ FROM f GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_near_dup": op2_near_dup,
     "op3_token_counts": op3_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op10_chat_format": op10_chat_format,
