@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, near_dup, quality, token_counts
+from . import bpe, chat, decontaminate, near_dup, quality, repeats, token_counts
 from .common import table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -60,6 +60,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *named, quality.base_failed(m).alias("base_failed"), F.col("_kept").alias("kept"))
 
 
+def _digested(found: DataFrame) -> DataFrame:
+    kept = F.sha2(F.col("kept").cast("binary"), 256)
+    return found.select("doc_id", "n_words", repeats.removed_words("removed").alias("n_removed"), kept.alias("kept_sha256"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digested(repeats.substring(table(spark, sf_dir, "documents")))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By document, the words in runs of 50 words that also start in a document with a smaller doc_id."""
+    return _digested(repeats.suffix(table(spark, sf_dir, "documents")))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -67,6 +81,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(rows.unionByName(extra)))
 
 
+def _repeats_sql(length: int) -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, s, array_to_string(w[s : s + {length - 1}], ' ') AS k FROM
+    (SELECT doc_id, w, unnest(range(1, len(w) - {length} + 2)) AS s FROM d WHERE len(w) >= {length})),
+f AS (SELECT k, min(doc_id) AS first FROM x GROUP BY k HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + {length})) AS p FROM x JOIN f USING (k) WHERE doc_id > first),
+a AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+r AS (SELECT a.doc_id, count(*) FILTER (g.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY a.p) FILTER (g.p IS NULL) AS kept
+    FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.p = g.p GROUP BY a.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -110,6 +139,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_substring_dedup": _repeats_sql(repeats.SUBSTRING_LENGTH), "op7_suffix_dedup": _repeats_sql(repeats.SUFFIX_LENGTH), "op10_chat_format": OP10_SQL}
