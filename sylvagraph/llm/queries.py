@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, near_dup, quality, repeats, token_counts
+from . import bpe, chat, decontaminate, katz, line_templates, near_dup, quality, repeats, token_counts
 from .common import table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -74,6 +74,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digested(repeats.suffix(table(spark, sf_dir, "documents")))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = line_templates.drop_templates(docs)
+    return cut.select("doc_id", F.size("_dropped").cast("bigint").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -141,6 +151,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_katz": op8_katz,
+    "op9_line_templates": op9_line_templates,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_substring_dedup": _repeats_sql(repeats.SUBSTRING_LENGTH), "op7_suffix_dedup": _repeats_sql(repeats.SUFFIX_LENGTH), "op10_chat_format": OP10_SQL}
