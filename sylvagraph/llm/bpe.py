@@ -5,8 +5,9 @@ tokens of its prefixes: the last token of a prefix is the one token t that ends
 token of the prefix before t (merging the two gives back just those two), and only one such t exists. So a reader
 needs, for each earlier boundary from which a vocabulary token could still grow over the bytes read, the last token
 there and the trie node reached since. Those pairs are the transducer's state; a step on a byte is computed when first
-needed and remembered (lazy determinisation, with a bounded store that is emptied when full). A token is emitted as
-soon as all live boundaries agree on it, which is after at most the longest token's length of further bytes.
+needed and remembered (lazy determinisation). A token is emitted as soon as all live boundaries agree on it, which is
+after at most the longest token's length of further bytes. The store of steps is bounded: when it is full, an input
+that leaves the remembered part is read on nondeterministically from its last settled token, longest tokens first.
 
 Tokens that don't encode to themselves can't occur in any encoding and are left out of the trie.
 
@@ -27,12 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, tune
 
 #: Remembered steps and token pairs of the transducer, and remembered pieces, of one worker.
-MOST_STEPS = 300_000
-MOST_PAIRS = 200_000
-MOST_PIECES = 250_000
+MOST_STEPS = 100_000
+MOST_PAIRS = 150_000
+MOST_PIECES = 120_000
 #: Pieces up to this many characters are remembered whole.
 SHORT_PIECE = 64
 END = 1 << 60
@@ -64,6 +65,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.most = max(map(len, ranks), default=1)
         self.child: dict[int, int] = {}  # node << 8 | byte
         self.token = [-1]
         inner = set()
@@ -79,9 +81,6 @@ class Transducer:
         self.pack = {i: i.to_bytes(4, "little") for i in ranks.values()}
         self._spines: dict[int, tuple] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self.states: list[tuple] = [(-1, ((0, ()),))]
         self.ids = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, bytes]] = {}
@@ -164,14 +163,32 @@ class Transducer:
         return s
 
     def _learn(self, s: int, byte: int) -> tuple[int, bytes]:
-        state = self.states[s]
-        if len(self.steps) >= MOST_STEPS:
-            self._reset()
-            s = self._id(state)
-        new, out = self._step(state, byte)
+        new, out = self._step(self.states[s], byte)
         known = self.steps[s << 8 | byte] = (self._id(new), b"".join([self.pack[i] for i in out]))
         return known
 
+    def _search(self, piece: bytes, at: int, before: int) -> bytes:
+        """The ids from `at` on, after token `before`: the one chain of tokens in which all neighbours fit."""
+        n, ranks, fits = len(piece), self.ranks, self.fits
+        chain: list[tuple[int, int, int]] = []  # where a token starts, the token before it, its length
+        failed: set[tuple[int, int]] = set()
+        size = min(self.most, n - at)
+        while at < n:
+            while size:
+                token = ranks.get(piece[at : at + size])
+                if token is not None and fits(before, token) and (at + size, token) not in failed:
+                    break
+                size -= 1
+            if size:
+                chain.append((at, before, size))
+                at, before = at + size, token
+                size = min(self.most, n - at)
+            else:
+                failed.add((at, before))
+                at, before, size = chain.pop()
+                size -= 1
+        return b"".join([self.pack[ranks[piece[i : i + k]]] for i, _, k in chain])
+
     def _end(self, s: int) -> bytes:
         """Tokens still held when the input ends."""
         if (known := self.ends.get(s)) is None:
@@ -182,7 +199,13 @@ class Transducer:
         """The ids of a piece as little-endian 32-bit integers."""
         s, out = 0, []
         for byte in piece:
-            known = self.steps.get(s << 8 | byte) or self._learn(s, byte)
+            known = self.steps.get(s << 8 | byte)
+            if known is None:
+                if len(self.steps) >= MOST_STEPS:
+                    done = b"".join(out)
+                    settled = sum(len(self.bytes_of[i]) for i in np.frombuffer(done, "<i4").tolist()) if done else 0
+                    return done + self._search(piece, settled, self.states[s][0])
+                known = self._learn(s, byte)
             s, emitted = known
             if emitted:
                 out.append(emitted)
@@ -292,6 +315,7 @@ _BYTES: dict[str, dict[int, bytes]] = {}
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", into: str = "token_ids") -> DataFrame:
     """Adds the token ids of each whole text. A column named `into` is replaced."""
+    tune(docs.sparkSession)
     kept = [c for c in docs.columns if c != into]
     source = docs.select(*kept, text_bytes(text_col).alias("_text_bytes"))
     result = source.drop("_text_bytes").withColumn(into, F.array().cast("array<int>"))
@@ -315,6 +339,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
     """Adds the text of a column of token ids. A column named `into` is replaced."""
+    tune(encoded.sparkSession)
     kept = [c for c in encoded.columns if c != into]
     source = encoded.select(*kept, F.col(ids_col).alias("_ids"))
     result = source.drop("_ids").withColumn(into, F.lit("").cast("string"))

@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+def tune(spark: SparkSession) -> None:
+    """Settings of the operators: small Arrow batches, as texts are long and Python holds a batch several times over;
+    no partition-aware unions, which can go wrong together with exchange reuse."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 class Shared:
     """Tables written to the shared folder to cut lineage; `drop` removes one that is no longer read."""
 
