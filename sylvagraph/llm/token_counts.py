@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, batches_by, rows_of, text_bytes
+from .common import Shared, batches_by, rows_of, text_bytes, tune
 
 MOST_SEGMENTS = 400_000
 SPACE_MARK = "▁"
@@ -49,7 +49,13 @@ class Counter(dict):
 
     def __missing__(self, segment: str) -> int:
         # the library puts one space mark before what it gets; a line end keeps it apart from what has none
-        n = self._count(segment[1:]) if segment[0] == SPACE_MARK else self._count("\n" + segment) - 1 - self.line_end
+        # but it gives nothing for the empty text
+        if segment == SPACE_MARK:
+            n = self._count("\n") - self.line_end
+        elif segment[0] == SPACE_MARK:
+            n = self._count(segment[1:])
+        else:
+            n = self._count("\n" + segment) - 1 - self.line_end
         if len(segment) <= 64:
             if len(self) >= MOST_SEGMENTS:
                 self.clear()
@@ -114,6 +120,7 @@ def count_misses(misses: DataFrame, path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and n_tokens of every row; appends what the cache lacked."""
     spark = docs.sparkSession
+    tune(spark)
     cache_path = cache_path or Shared(spark, "token-cache").path("counts")
     version = tokenizer_digest(path)
     schema = "tokenizer string, digest binary, n_tokens bigint"
