@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .functions import kinds
-from .operators import matching, scc, similarity, store, traversal
+from .operators import matching, metrics, patterns, scc, similarity, store, traversal
 from .plans.fixpoint import bfs, closure
 from .plans.storage import configure
 from .sources import views
@@ -149,14 +149,14 @@ def outgoing_incoming_degree(spark, sf_dir):
 
 RANGES_SQL = f"""
 rn AS (SELECT graph_id, node_id, tag, (k * 10)::BIGINT AS start, (k * 10 + 5 + node_id % 50)::BIGINT AS "end" FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY ts, node_id) - 1 AS k FROM en)),
-ro AS (SELECT DISTINCT graph_id, (start + node_id % 40)::BIGINT AS "offset" FROM rn WHERE node_id % 5 = 0)"""
+ro AS (SELECT DISTINCT graph_id, (start + node_id % 40)::BIGINT AS "offset" FROM rn)"""
 
 
 def _ranges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     n = views.events_cfg(spark, sf_dir).nodes
     k = F.row_number().over(W.partitionBy("graph_id").orderBy("ts", "node_id")) - 1
     nodes = n.withColumn("k", k).select("graph_id", "node_id", "tag", (F.col("k") * 10).cast("bigint").alias("start"), (F.col("k") * 10 + 5 + F.col("node_id") % 50).cast("bigint").alias("end"))
-    return nodes, nodes.filter("node_id % 5 = 0").select("graph_id", (F.col("start") + F.col("node_id") % 40).alias("offset")).distinct()
+    return nodes, nodes.select("graph_id", (F.col("start") + F.col("node_id") % 40).alias("offset")).distinct()
 
 
 for _name, _tags, _scopes in (("node_at_offset", "", False), ("scope_at_offset", "AND tag IN ('Block', 'Function')", True)):
@@ -293,13 +293,12 @@ def scc_condensation(spark, sf_dir):
 
 for _name, _a, _b in (("forward_slice", "source", "target"), ("backward_slice", "target", "source")):
     SQL[_name] = f"""
-WITH RECURSIVE {CALLS}, s AS (SELECT 0::BIGINT AS node, 0::BIGINT AS depth UNION SELECT {_b}, depth + 1 FROM s JOIN ce ON {_a} = node WHERE depth < 30)
-SELECT node, min(depth) AS depth FROM s GROUP BY node"""
+WITH RECURSIVE {CALLS}, s AS (SELECT n_nationkey::BIGINT AS seed, n_nationkey::BIGINT AS node, 0::BIGINT AS depth FROM nation UNION SELECT seed, {_b}, depth + 1 FROM s JOIN ce ON {_a} = node WHERE depth < 30)
+SELECT seed, node, min(depth) AS depth FROM s GROUP BY seed, node"""
 
     def _slice(spark, sf_dir, a=_a, b=_b):
-        steps = views.nation_calls(configure(spark), sf_dir).edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-        seeds = spark.range(1).select(F.lit(0).cast("bigint").alias("seed"), F.lit(0).cast("bigint").alias("node"))
-        return bfs(steps, seeds).select("node", "depth")
+        g = views.nation_calls(configure(spark), sf_dir)
+        return bfs(g.edges.select(F.col(a).alias("src"), F.col(b).alias("dst")), g.nodes.select(F.col("node_id").alias("seed"), F.col("node_id").alias("node")))
 
     QUERIES[_name] = _slice
 
@@ -400,3 +399,49 @@ def gnn_message_pass(spark, sf_dir):
     edges = e.select("graph_id", F.col("node_id").alias("source"), following.alias("target")).filter("target IS NOT NULL")
     passed = embeddings.message_pass(e.select("graph_id", "node_id", "vector"), edges, 1, 64)
     return passed.select(F.col("node_id").alias("vec_id"), F.round(embeddings.norm("vector"), 5).alias("norm"))
+
+
+CLASS_SQL = """
+served AS (SELECT c_nationkey::BIGINT AS n, c_mktsegment AS s, min(c_acctbal) AS low, any_value(n_regionkey)::BIGINT AS r FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+by_region AS (SELECT DISTINCT r, s FROM served),
+fields AS (SELECT DISTINCT s_nationkey::BIGINT AS n, n_regionkey::BIGINT AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+reading AS (SELECT * FROM served WHERE low < 0 AND n IN (SELECT n FROM fields)),
+cn AS (SELECT r_regionkey::BIGINT + 1 AS id, 'decl' AS class FROM region UNION ALL SELECT n_nationkey + 100, 'decl' FROM nation UNION ALL SELECT 100000 + n * 1000 + ascii(s), 'decl' FROM served
+  UNION ALL SELECT 200000 + r * 1000 + ascii(s), 'decl' FROM by_region UNION ALL SELECT n + 300000, 'decl' FROM fields UNION ALL SELECT 400000 + n * 1000 + ascii(s), 'expr' FROM reading),
+e AS (SELECT n_nationkey + 100 AS a, n_regionkey + 1 AS b, 'Implements' AS kind FROM nation UNION ALL SELECT n + 100, 100000 + n * 1000 + ascii(s), 'AstChild' FROM served
+  UNION ALL SELECT r + 1, 200000 + r * 1000 + ascii(s), 'AstChild' FROM by_region UNION ALL SELECT n + 100, n + 300000, 'AstChild' FROM fields
+  UNION ALL SELECT n + 300000, r + 1, 'TypeOf' FROM fields UNION ALL SELECT 100000 + n * 1000 + ascii(s), 400000 + n * 1000 + ascii(s), 'AstChild' FROM reading),
+de AS (SELECT e.* FROM e JOIN cn x ON x.id = a AND x.class = 'decl' JOIN cn y ON y.id = b AND y.class = 'decl')"""
+
+
+def _pattern_sql(name: str) -> str:
+    """Counts of one pattern whose nodes are all declarations; singleton needs a statement, which the view lacks."""
+    category, confidence, pattern = patterns.CATALOGUE[name]
+    sources, where, of = [], [], {}
+    for k, (a, b, kind) in enumerate(pattern.edges):
+        sources.append(f"de e{k}")
+        where.append(f"e{k}.kind = '{kind}'")
+        for node, end in ((a, f"e{k}.a"), (b, f"e{k}.b")):
+            if node in of:
+                where.append(f"{of[node]} = {end}")
+            else:
+                where += [f"{end} <> {x}" for x in of.values()]
+                of[node] = end
+    return f"SELECT '{name}' AS pattern, '{category}' AS category, count(*) AS n_matches, {confidence}::DOUBLE AS confidence FROM {', '.join(sources)} WHERE {' AND '.join(where)} HAVING count(*) > 0"
+
+
+@query("gof_patterns", f"WITH {CLASS_SQL} " + " UNION ALL ".join(_pattern_sql(n) for n, (_, c, _p) in patterns.CATALOGUE.items() if n != "singleton" and c >= patterns.REPORTED))
+def gof_patterns(spark, sf_dir):
+    g = views.class_graph(spark, sf_dir)
+    return patterns.detect(g.nodes, g.edges).drop("graph_id")
+
+
+@query("pattern_metrics", f"""
+WITH {CLASS_SQL}, m AS (SELECT n, count(*) AS m FROM served GROUP BY n), x AS (SELECT n, count(*) AS x FROM reading GROUP BY n),
+l AS (SELECT avg(greatest(m * (m - 1) / 2 - 2 * (coalesce(x, 0) * (coalesce(x, 0) - 1) / 2), 0) / (m * (m - 1) / 2)) AS lcom FROM m JOIN fields USING (n) LEFT JOIN x USING (n) WHERE m >= 2)
+SELECT (SELECT count(*) FROM nation) AS class_count, (SELECT count(*) FROM region) AS interface_count, (SELECT count(*) FROM nation) AS inheritance_count, 0::BIGINT AS composition_count,
+  round((SELECT count(*) FROM served) / (SELECT count(*) FROM nation), 6) AS avg_methods_per_class, round(lcom, 6) AS cohesion, 1.0::DOUBLE AS coupling FROM l""")
+def pattern_metrics(spark, sf_dir):
+    g = views.class_graph(spark, sf_dir)
+    m = metrics.pattern_metrics(g.nodes, g.edges).drop("graph_id")
+    return m.withColumns({c: F.round(c, 6) for c in ("avg_methods_per_class", "cohesion", "coupling")})

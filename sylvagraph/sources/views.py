@@ -72,3 +72,30 @@ def nation_calls(spark: SparkSession, sf_dir: str, quantity: int = 45) -> Graph:
     nodes = table(spark, sf_dir, "nation").select(F.lit(1).cast("bigint").alias("graph_id"), F.col("n_nationkey").cast("bigint").alias("node_id"), F.lit("Function").alias("tag"), F.col("n_name").alias("name"))
     edges = pairs.select(F.lit(1).cast("bigint").alias("graph_id"), "source", "target", F.lit("call").alias("family"), F.lit("StaticCall").alias("kind"), F.lit(None).cast("string").alias("subkind"))
     return Graph(nodes, edges)
+
+
+def class_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Regions as traits, nations as classes that implement them; market segments as functions of both; a field of the
+    region's type in each nation with suppliers, read by the functions of segments with indebted customers."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("n"), F.col("n_regionkey").cast("bigint").alias("r"), "n_name")
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("r"), "r_name")
+    served = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("n"), F.col("c_mktsegment").alias("s")).agg(F.min("c_acctbal").alias("low")).join(nations, "n")
+    fields = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("bigint").alias("n")).distinct().join(nations, "n").join(regions, "r")
+    letter = F.ascii("s").cast("bigint")
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, i, tag: str, name, type_name=none) -> DataFrame:
+        return df.select(F.lit(1).cast("bigint").alias("graph_id"), i.alias("node_id"), F.lit(tag).alias("tag"), name.alias("name"), type_name.alias("type_name"))
+
+    def links(df: DataFrame, a, b, kind: str) -> DataFrame:
+        return df.select(F.lit(1).cast("bigint").alias("graph_id"), b.alias("edge_id"), a.alias("source"), b.alias("target"), F.lit(kind).alias("kind"), none.alias("subkind"))
+
+    r, n = F.col("r") + 1, F.col("n") + 100
+    of_class, of_trait, field, use = 100_000 + F.col("n") * 1000 + letter, 200_000 + F.col("r") * 1000 + letter, F.col("n") + 300_000, 400_000 + F.col("n") * 1000 + letter
+    by_region = served.select("r", "s").distinct()
+    reading = served.filter("low < 0").join(fields.select("n"), "n", "left_semi")
+    nodes = rows(regions, r, "Trait", F.col("r_name")).unionByName(rows(nations, n, "Class", F.col("n_name"))).unionByName(rows(served, of_class, "Function", F.col("s"))).unionByName(rows(by_region, of_trait, "Function", F.col("s")))
+    nodes = nodes.unionByName(rows(fields, field, "Field", F.lit("supply"), F.col("r_name"))).unionByName(rows(reading, use, "Identifier", F.lit("supply")))
+    edges = links(nations, n, r, "Implements").unionByName(links(served, n, of_class, "AstChild")).unionByName(links(by_region, r, of_trait, "AstChild"))
+    edges = edges.unionByName(links(fields, n, field, "AstChild")).unionByName(links(fields, field, r, "TypeOf")).unionByName(links(reading, of_class, use, "AstChild"))
+    return Graph(nodes, edges)
