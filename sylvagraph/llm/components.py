@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared
+from .common import Shared, tune
 
 MOST_ROUNDS = 100
 
@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     the edges, whose number never grows; rounds are logarithmic in a component's size.
     """
     spark = edges.sparkSession
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    tune(spark)
     shared = Shared(spark, "components")
     now = shared.write(edges.select("u", "v").filter("u <> v").distinct(), "0")
     before = None

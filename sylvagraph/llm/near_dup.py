@@ -7,8 +7,10 @@
    of a group of edited copies does. A bucket of any size gives as many pairs as it has members.
 3. Pairs pass a length bound, then their signatures' agreement, then the Jaccard index of the full sets decides.
 4. Components of the confirmed links. Buckets that still hold several components may hide links that don't touch a hub.
-   All pairs across components are compared in those of up to SMALL rows; the rows of larger ones meet again in
-   pairs of such buckets, then in triples, and so on, which splits them fast, and no pair that shares two is lost.
+   In those of up to SMALL rows all pairs across components are compared. Larger ones are groups of copies that are
+   almost, but not quite, all linked: buckets that share members make a group, and the group's members outside its
+   largest component are held against all its members on full sets, block by block; a task gets two blocks, and only
+   one link from a text to a component leaves it.
 5. Final components; the least doc_id of a component names it.
 
 With J = 0.85 a band meets with probability 0.85^7 = 0.32; all 48 miss with about 1e-8 were they independent, and about
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, WordHash, batches_by, rows_of, signed, text_bytes, window_hashes
+from .common import Shared, WordHash, batches_by, rows_of, signed, text_bytes, tune, window_hashes
 from .components import components
 
 SHINGLE = 5
@@ -40,7 +42,8 @@ PERCENT = 85
 #: Signatures that agree less than this are dropped: at J = 0.85 that is more than five standard deviations off.
 LEAST_AGREEMENT = 0.70
 SMALL = 64
-MOST_LEVELS = 4
+#: Texts in a block of the members outside a group's largest component, and of all its members.
+OUTSIDE_BLOCK, BLOCK = 256, 512
 #: Bits of the map of documents that verification reads; fixed, so it never grows with the corpus.
 MAP_BITS = 25
 
@@ -196,29 +199,58 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "u binary, v binary")
 
 
-def _across(rows: DataFrame, shared: Shared) -> DataFrame:
+def _across(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket of `rows` (bucket, cls, n, comp)."""
-    found = None
-    for level in range(1, MOST_LEVELS + 1):
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "size")
-        rows = shared.write(rows.join(sizes, "bucket"), f"across{level}")
-        few = rows.filter(F.col("size") <= SMALL) if level < MOST_LEVELS else rows
-        one, other = (few.select("bucket", F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("comp").alias(f"{c}_comp")) for c in ("a", "b"))
-        pairs = one.join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & _near("a_n", "b_n")).select("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
-        more = rows.filter(F.col("size") > SMALL)
-        if level == MOST_LEVELS or more.isEmpty():
-            break
-        own = more.groupBy("cls", "n", "comp").agg(F.array_sort(F.collect_list("bucket")).alias("at"))  # at most one for each band
-        combined = F.flatten(F.transform("at", lambda x, i: F.transform(F.slice("at", i + 2, F.size("at")), lambda y: F.xxhash64(x, y))))
-        rows = own.select(F.explode(combined).alias("bucket"), "cls", "n", "comp")
-    return found.distinct()
+    one, other = (rows.select("bucket", F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("comp").alias(f"{c}_comp")) for c in ("a", "b"))
+    pairs = one.join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & _near("a_n", "b_n"))
+    return pairs.select("a", "b").distinct()
+
+
+def _within_groups(rows: DataFrame, classes: DataFrame, docs: DataFrame, shared: Shared) -> DataFrame:
+    """Links (u, v) across components within groups of buckets that share members."""
+    least = rows.groupBy("bucket").agg(F.min("cls").alias("u"))
+    groups = components(rows.select("bucket", F.col("cls").alias("v")).join(least, "bucket").select("u", "v"))
+    placed = rows.select("cls", "comp").distinct().join(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")), "cls")
+    by_comp = placed.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("size"))
+    main = by_comp.groupBy("grp").agg(F.max(F.struct("size", "comp")).alias("m"), F.sum("size").alias("all"))
+    grid = main.select("grp", F.col("m.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m.size")) / OUTSIDE_BLOCK).cast("int").alias("outside_blocks"))
+    placed = shared.write(placed.join(grid, "grp").join(classes.select("cls", F.col("doc").alias("doc_id")), "cls"), "placed")
+    spot = F.xxhash64("cls")
+    texts = _some(docs, placed.select("doc_id"))
+    with_text = placed.join(texts, "doc_id").withColumns({"_block": F.pmod(spot, F.col("blocks")).cast("int"), "_outside": F.pmod(spot, F.col("outside_blocks")).cast("int")})
+    all_ = with_text.select("grp", "_block", F.explode(F.sequence(F.lit(0), F.col("outside_blocks") - 1)).alias("_outside"), F.lit(False).alias("asks"), "cls", "comp", "data")
+    outside = with_text.filter(F.col("comp") != F.col("main")).select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_block"), "_outside", F.lit(True).alias("asks"), "cls", "comp", "data")
+
+    def run(table: pa.Table) -> pa.Table:
+        asks, cls, comp, data = (table.column(c).to_pylist() for c in ("asks", "cls", "comp", "data"))
+        sets = [shingle_set(x) for x in data]
+        sets = [x if set_digest(x) == c else x[:0] for x, c in zip(sets, cls, strict=True)]
+        told = [k for k, q in enumerate(asks) if not q and len(sets[k])]
+        found: list[tuple[bytes, bytes]] = []
+        if told:
+            sizes = np.array([len(sets[k]) for k in told])
+            values, places = np.unique(np.concatenate([sets[k] for k in told]), return_inverse=True)
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            for k, q in enumerate(asks):
+                x = sets[k]
+                if not q or not len(x):
+                    continue
+                at = np.searchsorted(values, x)
+                at[at == len(values)] = 0
+                own = np.zeros(len(values), bool)
+                own[at[values[at] == x]] = True
+                both = np.add.reduceat(own[places].astype(np.int64), starts)
+                near = {comp[told[j]]: told[j] for j in np.flatnonzero(100 * both >= PERCENT * (len(x) + sizes - both)) if comp[told[j]] != comp[k]}
+                found += [(cls[k], cls[j]) for j in near.values()]
+        return pa.table({"u": pa.array([a for a, _ in found], pa.binary()), "v": pa.array([b for _, b in found], pa.binary())})
+
+    return all_.unionByName(outside).groupBy("grp", "_block", "_outside").applyInArrow(run, "u binary, v binary")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    tune(spark)
     shared = Shared(spark, "near-dup")
     docs = documents.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("data"))
     rows = shared.write(_signed(docs), "rows")
@@ -237,10 +269,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     first = shared.write(components(links), "first")
     placed = members.select("bucket", "cls", "n").join(first.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    rest = _across(placed, shared).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    open_ = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "size")
+    open_ = shared.write(placed.join(open_, "bucket"), "open")
+    rest = _across(open_.filter(F.col("size") <= SMALL)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     also = shared.write(_agreeing(rest, classes), "also")
-    if not also.isEmpty():
-        links = links.unionByName(shared.write(_confirmed(also, docs), "more"))
+    more = [shared.write(_confirmed(also, docs), "more")] if not also.isEmpty() else []
+    large = open_.filter(F.col("size") > SMALL)
+    if not large.isEmpty():
+        more.append(shared.write(_within_groups(large, classes, docs, shared), "within"))
+    if more:
+        for x in more:
+            links = links.unionByName(x)
         first = components(links)
     # the least id of each component, then of each class, then of each row
     at = classes.select("cls", "doc").join(first.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
