@@ -20,3 +20,27 @@ def test_catalogue_is_complete():
     assert [n for n, (_, c, _p) in patterns.CATALOGUE.items() if c < patterns.REPORTED] == ["facade"]
     for _, _, p in patterns.CATALOGUE.values():
         assert all(a < len(p.nodes) and b < len(p.nodes) for a, b, _ in p.edges)
+
+
+def test_classifier_rules(spark):
+    from sylvagraph.operators import classify
+
+    schema = NODE + ", is_static boolean, visibility string"
+    rows = [
+        (0, "Class", "WidgetFactory", None, None, None), (1, "Function", "create_a", None, False, "Public"), (2, "Function", "create_b", None, False, "Public"),
+        (10, "Class", "Logger", None, None, None), (11, "Field", "instance", "Logger", None, None), (12, "Function", "new", None, False, "Private"), (13, "Function", "getInstance", None, True, "Public"),
+        (20, "Trait", "Shape", None, None, None), (21, "Class", "Border", None, None, None), (22, "Field", "inner", "Shape", None, None), (23, "Function", "notify_all", None, False, "Public"), (24, "Function", "Update", None, False, "Public"),
+        (30, "Struct", "Empty", None, None, None),
+    ]
+    nodes = spark.createDataFrame([(1, *r) for r in rows], schema)
+    pairs = [(0, 1), (0, 2), (10, 11), (10, 12), (10, 13), (21, 22), (21, 23), (21, 24)]
+    edges = spark.createDataFrame([(1, k, a, b, "AstChild", None) for k, (a, b) in enumerate(pairs)] + [(1, 99, 21, 20, "Implements", None)], "graph_id bigint, edge_id bigint, source bigint, target bigint, kind string, subkind string")
+    f = classify.features(nodes, edges)
+    got = {(r.class_id, r.pattern): round(r.score, 6) for r in classify.scores(f, least=0.0).collect()}
+    assert got == {(0, "Factory"): 0.7, (10, "Singleton"): 1.0, (10, "Factory"): 0.6, (21, "Observer"): 0.8, (21, "Decorator"): 0.75}
+    assert {(r.class_id, r.pattern): round(r.score, 6) for r in classify.scores(f, True).collect()}[0, "Factory"] == 0.77
+    assert (0, "Factory") in {(r.class_id, r.pattern) for r in classify.scores(f).collect()}
+    assert {r.class_id: r.vector for r in classify.vector(f).collect()}[30] == [0.0] * 12
+    # fields typed as interfaces count for implemented traits only, so this rule needs a made-up row to fire
+    made = f.filter("class_id = 21").selectExpr("*", "0L AS none").drop("interface_count").withColumnRenamed("none", "interface_count")
+    assert {r.pattern: r.score for r in classify.scores(made).collect()}["Strategy"] == 0.7
