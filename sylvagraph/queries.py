@@ -196,7 +196,7 @@ def basic_block_leaders(spark, sf_dir):
     return g.nodes.select("graph_id", "node_id").join(into, ["graph_id", "node_id"], "left").filter("before IS NULL OR before = 'Throw'").select("graph_id", "node_id")
 
 
-DEFS = F.col("tag").isin("Assignment", "Variable")
+DEFINES = "tag IN ('Assignment', 'Variable')"
 
 
 @query("reaching_definition_latest", f"""
@@ -205,7 +205,7 @@ WITH {EVENTS_SQL}, d AS (SELECT *, max(CASE WHEN tag IN ('Assignment', 'Variable
 SELECT u.graph_id, u.node_id AS use_site, x.node_id AS definition FROM d u JOIN d x ON u.graph_id = x.graph_id AND u.at = x.k WHERE u.tag = 'Call'""")
 def reaching_definition_latest(spark, sf_dir):
     before = W.partitionBy("graph_id").orderBy("ts", "node_id").rowsBetween(W.unboundedPreceding, -1)
-    n = views.events_cfg(spark, sf_dir).nodes.withColumn("definition", F.last(F.when(DEFS, F.col("node_id")), ignorenulls=True).over(before))
+    n = views.events_cfg(spark, sf_dir).nodes.withColumn("definition", F.last(F.when(F.expr(DEFINES), F.col("node_id")), ignorenulls=True).over(before))
     return n.filter("tag = 'Call' AND definition IS NOT NULL").select("graph_id", F.col("node_id").alias("use_site"), "definition")
 
 
@@ -215,7 +215,7 @@ WHERE u.tag = 'Call' AND d.tag IN ('Assignment', 'Variable') AND (d.ts, d.node_i
 def reaching_definition_weak(spark, sf_dir):
     n = views.events_cfg(spark, sf_dir).nodes.withColumn("day", F.to_date("ts"))
     before = W.partitionBy("graph_id", "day").orderBy("ts", "node_id").rowsBetween(W.unboundedPreceding, -1)
-    all_ = n.withColumn("definition", F.collect_list(F.when(DEFS, F.col("node_id"))).over(before)).filter("tag = 'Call'")
+    all_ = n.withColumn("definition", F.collect_list(F.when(F.expr(DEFINES), F.col("node_id"))).over(before)).filter("tag = 'Call'")
     return all_.select("graph_id", F.col("node_id").alias("use_site"), F.explode("definition").alias("definition"))
 
 
