@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_by, rows_of
+from .common import batches_by, rows_of, tune
 
 START, END, TARGET_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 
@@ -84,6 +84,7 @@ def _split(text: str, mark: str) -> list[str]:
 
 def format_chat(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, example (from 0), formatted, loss_start, loss_end (in code points)."""
+    tune(conversations.sparkSession)
     blank = F.lit("")
     turns = conversations.select(F.col(id_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), blank).alias("role"), F.coalesce(F.col(text_col), blank).alias("text")).alias("t"))
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t")).select("conv_id", F.col("t.role").alias("roles"), F.col("t.text").alias("texts"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, WordHash, signed, window_hashes
+from .common import Shared, WordHash, signed, tune, window_hashes
 
 WINDOW, SHINGLE = 10, 3
 MOST_WINDOWS = 100_000
@@ -149,6 +149,7 @@ def _pass(docs: DataFrame, index: dict, text_col: str, into: str) -> DataFrame:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, into: str = "_leaks", most: int = MOST_WINDOWS) -> DataFrame:
     """The documents with a struct column `into`: n_words, spans, items."""
+    tune(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("binary").alias("t"))
     texts = docs.select(F.col(text_col).cast("binary"))
     result = docs.withColumn(into, F.lit(None).cast(FOUND))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, WordHash, mix, rows_of, signed, text_bytes
+from .common import Shared, WordHash, mix, rows_of, signed, text_bytes, tune
 
 HELD_OUT_OF, HELD_OUT = 7, 2
 GT_MOST = 5
@@ -271,7 +271,7 @@ def _scored(chunks: DataFrame, model: Model, hot: np.ndarray, buckets: int, id_t
 def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    tune(spark)
     shared = Shared(spark, "katz")
     docs = documents.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("data"))
     id_type = docs.schema["doc_id"].dataType.simpleString()

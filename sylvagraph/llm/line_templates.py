@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE, Shared
+from .common import NOT_SPACE, SPACE, Shared, tune
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -74,7 +74,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, into: str = "_dropped") -> DataFrame:
     """The documents with their text rid of recurring lines, and the numbers of the dropped lines in `into`."""
-    docs.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    tune(docs.sparkSession)
     found = recurring(docs, id_col, text_col, min_docs).groupBy("_id", "_row").agg(F.array_sort(F.collect_list("_line")).alias("_numbers"), F.sum("_n").alias("_words"))
     own = docs.withColumn("_own", F.xxhash64(id_col, text_col))
     joined = own.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, WordHash, batches_by, rows_of, signed, text_bytes, window_hashes
+from .common import Shared, WordHash, batches_by, rows_of, signed, text_bytes, tune, window_hashes
 from .near_dup import MAP_BITS
 
 SUBSTRING_LENGTH, SUBSTRING_GRAM = 13, 7
@@ -239,7 +239,7 @@ def _taken_out(docs: DataFrame, length: int) -> DataFrame:
 
 def _repeats(documents: DataFrame, id_col: str, text_col: str, length: int, gram: int, deep: int) -> DataFrame:
     spark = documents.sparkSession
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    tune(spark)
     shared = Shared(spark, "repeats")
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("bigint").alias("doc"), text_bytes(text_col).alias("data"))
     total = docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
