@@ -50,3 +50,32 @@ def wl_histogram(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFra
         for _ in range(2 if k == rounds - 1 else 1):
             found = labels if found is None else found.unionByName(labels)
     return found.groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def feature_vectors(stats: DataFrame, depths: DataFrame | None = None) -> DataFrame:
+    """graph_id, features: capped sizes, shares of edge families, capped counts, depth and complexity.
+
+    stats: as operators.store.stats gives; depths: graph_id, depth, 1 where it is missing.
+    """
+    f = stats if depths is None else stats.join(depths, "graph_id", "left")
+    depth = F.lit(1) if depths is None else F.coalesce("depth", F.lit(1))
+
+    def capped(x, most: float):
+        return F.least(x / most, F.lit(1.0))
+
+    shares = [F.when(F.col("n_edges") > 0, F.col(f"n_{k}") / F.col("n_edges")).otherwise(F.lit(0.0)) for k in ("ast", "cfg", "dfg")]
+    parts = [capped(F.col("n_nodes"), 1000.0), capped(F.col("n_edges"), 2000.0), *shares, capped(F.col("n_functions"), 100.0), capped(F.col("n_classes"), 50.0), capped(depth, 50.0), capped(F.col("cyclomatic"), 100.0)]
+    return f.select("graph_id", F.array(*[p.cast("double") for p in parts]).alias("features"))
+
+
+def feature_cosine(features: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, score in [0, 1]; 0 if either vector has no length."""
+    a = features.select(F.col("graph_id").alias("a"), F.col("features").alias("x"))
+    b = features.select(F.col("graph_id").alias("b"), F.col("features").alias("y"))
+
+    def dot(p: str, q: str):
+        return F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda acc, v: acc + v)
+
+    size = F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))
+    score = F.when(size > 0, F.least(F.greatest(dot("x", "y") / size, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", score.alias("score"))

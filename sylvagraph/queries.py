@@ -445,3 +445,14 @@ def pattern_metrics(spark, sf_dir):
     g = views.class_graph(spark, sf_dir)
     m = metrics.pattern_metrics(g.nodes, g.edges).drop("graph_id")
     return m.withColumns({c: F.round(c, 6) for c in ("avg_methods_per_class", "cohesion", "coupling")})
+
+
+@query("similarity_features", f"""
+WITH {EVENTS_SQL}, n AS (SELECT graph_id, count(*) AS n FROM en GROUP BY graph_id), e AS (SELECT graph_id, count(*) AS e FROM ee GROUP BY graph_id),
+v AS (SELECT graph_id, count(*) AS v FROM (SELECT graph_id, source AS x FROM ee UNION SELECT graph_id, target FROM ee) GROUP BY graph_id),
+f AS (SELECT graph_id, [least(n / 1000, 1), least(coalesce(e, 0) / 2000, 1), CASE WHEN e > 0 THEN 1.0 ELSE 0.0 END, 1 / 50, least(coalesce(greatest(e - v, 0) + 2, 1) / 100, 1)]::DOUBLE[] AS f FROM n LEFT JOIN e USING (graph_id) LEFT JOIN v USING (graph_id))
+SELECT x.graph_id AS a, y.graph_id AS b, round(least(list_cosine_similarity(x.f, y.f), 1), 6) AS score FROM f x JOIN f y ON y.graph_id = x.graph_id + 1""")
+def similarity_features(spark, sf_dir):
+    g = views.events_cfg(spark, sf_dir)
+    found = similarity.feature_cosine(similarity.feature_vectors(store.stats(g.nodes, g.edges)), _neighbour_pairs(g.nodes))
+    return found.withColumn("score", F.round("score", 6))
