@@ -27,13 +27,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_bytes, tune
 
 #: Remembered steps and token pairs of the transducer, and remembered pieces, of one worker.
-MOST_STEPS = 100_000
+MOST_STEPS = 220_000
 MOST_PAIRS = 150_000
-MOST_PIECES = 120_000
+MOST_PIECES = 200_000
 #: Pieces up to this many characters are remembered whole.
 SHORT_PIECE = 64
 END = 1 << 60
@@ -83,7 +84,7 @@ class Transducer:
         self._pairs: dict[tuple[int, int], bool] = {}
         self.states: list[tuple] = [(-1, ((0, ()),))]
         self.ids = {self.states[0]: 0}
-        self.steps: dict[int, tuple[int, bytes]] = {}
+        self.steps: dict[int, tuple[int, bytes, int]] = {}  # next state, emitted ids, bytes that they stand for
         self.ends: dict[int, bytes] = {}
 
     def _spine(self, i: int) -> tuple[bool, list, list]:
@@ -162,32 +163,32 @@ class Transducer:
             self.states.append(state)
         return s
 
-    def _learn(self, s: int, byte: int) -> tuple[int, bytes]:
+    def _learn(self, s: int, byte: int) -> tuple[int, bytes, int]:
         new, out = self._step(self.states[s], byte)
-        known = self.steps[s << 8 | byte] = (self._id(new), b"".join([self.pack[i] for i in out]))
+        known = self.steps[s << 8 | byte] = (self._id(new), b"".join([self.pack[i] for i in out]), sum([len(self.bytes_of[i]) for i in out]))
         return known
 
     def _search(self, piece: bytes, at: int, before: int) -> bytes:
         """The ids from `at` on, after token `before`: the one chain of tokens in which all neighbours fit."""
         n, ranks, fits = len(piece), self.ranks, self.fits
-        chain: list[tuple[int, int, int]] = []  # where a token starts, the token before it, its length
+        chain: list[tuple[int, int, int, int]] = []  # where a token starts, the token before it, its length, itself
         failed: set[tuple[int, int]] = set()
         size = min(self.most, n - at)
         while at < n:
             while size:
                 token = ranks.get(piece[at : at + size])
-                if token is not None and fits(before, token) and (at + size, token) not in failed:
+                if token is not None and fits(before, token) and (not failed or (at + size, token) not in failed):
                     break
                 size -= 1
             if size:
-                chain.append((at, before, size))
+                chain.append((at, before, size, token))
                 at, before = at + size, token
                 size = min(self.most, n - at)
             else:
                 failed.add((at, before))
-                at, before, size = chain.pop()
+                at, before, size, _ = chain.pop()
                 size -= 1
-        return b"".join([self.pack[ranks[piece[i : i + k]]] for i, _, k in chain])
+        return b"".join([self.pack[x[3]] for x in chain])
 
     def _end(self, s: int) -> bytes:
         """Tokens still held when the input ends."""
@@ -197,18 +198,17 @@ class Transducer:
 
     def packed(self, piece: bytes) -> bytes:
         """The ids of a piece as little-endian 32-bit integers."""
-        s, out = 0, []
+        s, settled, out, steps = 0, 0, [], self.steps
         for byte in piece:
-            known = self.steps.get(s << 8 | byte)
+            known = steps.get(s << 8 | byte)
             if known is None:
-                if len(self.steps) >= MOST_STEPS:
-                    done = b"".join(out)
-                    settled = sum(len(self.bytes_of[i]) for i in np.frombuffer(done, "<i4").tolist()) if done else 0
-                    return done + self._search(piece, settled, self.states[s][0])
+                if len(steps) >= MOST_STEPS:
+                    return b"".join(out) + self._search(piece, settled, self.states[s][0])
                 known = self._learn(s, byte)
-            s, emitted = known
-            if emitted:
+            s, emitted, size = known
+            if size:
                 out.append(emitted)
+                settled += size
         out.append(self._end(s))
         return b"".join(out)
 
@@ -318,7 +318,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     tune(docs.sparkSession)
     kept = [c for c in docs.columns if c != into]
     source = docs.select(*kept, text_bytes(text_col).alias("_text_bytes"))
-    result = source.drop("_text_bytes").withColumn(into, F.array().cast("array<int>"))
+    schema = source.drop("_text_bytes").schema.add(into, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = ranks_path, pattern
@@ -334,7 +334,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], names=[*kept, into])
 
-    return source.mapInArrow(run, result.schema)
+    return source.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -342,7 +342,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", into
     tune(encoded.sparkSession)
     kept = [c for c in encoded.columns if c != into]
     source = encoded.select(*kept, F.col(ids_col).alias("_ids"))
-    result = source.drop("_ids").withColumn(into, F.lit("").cast("string"))
+    schema = source.drop("_ids").schema.add(into, "string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if ranks_path not in _BYTES:
@@ -354,4 +354,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", into
                 texts = [None if x is None else "".join(decode_stream(x, bytes_of)) for x in batch.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, into])
 
-    return source.mapInArrow(run, result.schema)
+    return source.mapInArrow(run, schema)
