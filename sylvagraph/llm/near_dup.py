@@ -41,7 +41,7 @@ MINIMA, BANDS, ROWS = 168, 48, 7
 PERCENT = 85
 #: Signatures that agree less than this are dropped: at J = 0.85 that is more than five standard deviations off.
 LEAST_AGREEMENT = 0.70
-SMALL = 64
+SMALL = 24
 #: Texts in a block of the members outside a group's largest component, and of all its members.
 OUTSIDE_BLOCK, BLOCK = 256, 512
 #: Bits of the map of documents that verification reads; fixed, so it never grows with the corpus.
