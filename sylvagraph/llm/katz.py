@@ -37,12 +37,14 @@ from .common import Shared, WordHash, mix, rows_of, signed, text_bytes, tune
 HELD_OUT_OF, HELD_OUT = 7, 2
 GT_MOST = 5
 MIN_PAIR = 2
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Distinct pairs that a bucket takes, at most about.
 BUCKET_PAIRS = 1_500_000
 HOT_PART = 4096
-_END = np.uint64(0x9E3779B97F4A7C15)
-_BEGIN = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Words are known by 56 bits of their hashes, so that a context takes seven bytes.
+_BITS = np.uint64((1 << 56) - 1)
+_END = np.uint64(0x9E3779B97F4A7C)
+_BEGIN = np.uint64(0xC2B2AE3D27D4EB)
 _WORDS = WordHash()
 
 
@@ -94,7 +96,7 @@ def _chunked(docs: DataFrame) -> DataFrame:
         for batch in batches:
             kind = batch.schema.field(0).type
             for doc, data in rows_of([batch]):
-                hashes = np.append(_WORDS.of((data or b"").lower().split()), _END)
+                hashes = np.append(_WORDS.of((data or b"").lower().split()) & _BITS, _END)
                 ids.append(doc)
                 lengths.append(len(hashes))
                 held.append(hashes)
@@ -141,10 +143,21 @@ class Chunk:
 
 
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """part, chunk, and a reader of the row's other arrays."""
     for batch in batches:
         for k in range(batch.num_rows):
-            r = batch.slice(k, 1).to_pydict()
-            yield r["part"][0], Chunk(r["doc_ids"][0], r["lengths"][0], r["words"][0], r["tokens"][0]), r
+            part, ids, lengths, words, tokens = (batch.column(c)[k].as_py() for c in ("part", "doc_ids", "lengths", "words", "tokens"))
+            yield part, Chunk(ids, lengths, words, tokens), lambda c, batch=batch, k=k: batch.column(c)[k]
+
+
+def _context_bytes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def _contexts(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    return out.view(np.uint64).ravel()
 
 
 def _word_rows(chunks: DataFrame) -> DataFrame:
@@ -167,7 +180,7 @@ def _pair_rows(chunks: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             c = np.bincount(pair, chunk.train(), len(word)).astype(np.uint32)
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
             spans = list(zip(edges, np.append(edges[1:], len(bucket)), strict=True))
-            cells = [[part] * len(spans), [int(bucket[a]) for a, _ in spans], [_planes(np.diff(word[a:b], prepend=np.uint64(0))) for a, b in spans], [context[a:b].tobytes() for a, b in spans], [_planes(c[a:b]) for a, b in spans]]
+            cells = [[part] * len(spans), [int(bucket[a]) for a, _ in spans], [_planes(np.diff(word[a:b], prepend=np.uint64(0))) for a, b in spans], [_context_bytes(context[a:b]) for a, b in spans], [_planes(c[a:b]) for a, b in spans]]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["part", "bucket", "words", "contexts", "counts"])
 
     return chunks.mapInArrow(run, "part bigint, bucket bigint, words binary, contexts binary, counts binary")
@@ -185,7 +198,7 @@ def _answered(rows: DataFrame) -> DataFrame:
         words = [np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in table.column("words").to_pylist()]
         sizes = [len(w) for w in words]
         word = np.concatenate(words)
-        context = np.frombuffer(b"".join(table.column("contexts").to_pylist()), np.uint64)
+        context = _contexts(b"".join(table.column("contexts").to_pylist()))
         count = np.concatenate([_unplanes(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
         order = np.lexsort((context, word))
         w, f = word[order], context[order]
@@ -249,11 +262,11 @@ def _scored(chunks: DataFrame, model: Model, hot: np.ndarray, buckets: int, id_t
         for _, chunk, row in _chunks(batches):
             n = len(chunk.words)
             c, bow, share = np.zeros(n + 1, np.int64), np.ones(n + 1), np.ones(n + 1)
-            at = np.array(row["at"][0], np.int64)
-            c[at], bow[at], share[at] = row["c"][0], row["bow"][0], row["share"][0]
-            c[n], (bow[n], share[n]) = model.docs, row["begin"][0]
+            at = row("at").values.to_numpy()
+            c[at], bow[at], share[at] = (row(x).values.to_numpy() for x in ("c", "bow", "share"))
+            c[n], (bow[n], share[n]) = model.docs, row("begin").as_py()
             _, _, _, word, context, pair = chunk.pairs(hot, buckets)
-            together = np.concatenate([_unplanes(x["a"], np.uint32) for x in sorted(row["answers"][0], key=lambda x: x["bucket"])]).astype(np.int64)
+            together = np.concatenate([_unplanes(x["a"], np.uint32) for x in sorted(row("answers").as_py(), key=lambda x: x["bucket"])]).astype(np.int64)
             p = model.word(c[:n])
             back = np.log10(bow[context]) + np.log10(p[word])
             with np.errstate(divide="ignore"):
