@@ -16,6 +16,9 @@ from sylvagraph.llm import bpe, decontaminate, line_templates, near_dup, quality
 from sylvagraph.llm.common import shared_dir, table
 from sylvagraph.llm.queries import BPE_RANKS
 
+#: Texts of at least this similarity, in hundredths, are near-duplicates here; op2_near_dup has a contract of its own.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a base rule or a certified cutoff rejects go."""
@@ -34,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     return found.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
 

@@ -2,7 +2,7 @@
 
 1. Each text gives its set of 5-word shingles, a digest of that set, and MINIMA minima of universal hashes of it. Texts
    of equal sets form a class; from here on one row stands for a class, so copies cost nothing.
-2. Classes meet in BANDS buckets, each keyed by ROWS of the minima (every minimum serves in two bands). Within a bucket
+2. Classes meet in 2 * MINIMA / r buckets, each keyed by r of the minima (every minimum serves in two bands). Within a bucket
    each class is compared with one hub only: the member that fills the largest buckets over all bands, as the original
    of a group of edited copies does. A bucket of any size gives as many pairs as it has members.
 3. Pairs pass a length bound, then their signatures' agreement, then the Jaccard index of the full sets decides.
@@ -13,8 +13,9 @@
    one link from a text to a component leaves it.
 5. Final components; the least doc_id of a component names it.
 
-With J = 0.85 a band meets with probability 0.85^7 = 0.32; all 48 miss with about 1e-8 were they independent, and about
-1e-7 as minima are shared.
+r is the largest with which all bands of a pair at the least similarity miss with MOST_MISSED or less, were they
+independent; as minima are shared, the figures are some times higher. With J = 0.85, r is 7: a band meets with 0.85^7 =
+0.32, all 48 miss with 9e-9. With J = 0.80, r is 6: a band meets with 0.80^6 = 0.26, all 56 miss with 4e-8.
 
 Defined cases: null, empty or word-less texts have no shingles, are linked with nothing and kept; texts of fewer words
 than a shingle have the whole sequence as their only one; repeated rows give a row each, in one class; a null doc_id
@@ -23,6 +24,7 @@ takes part like any other but never names a component that has another id; an em
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
@@ -36,11 +38,12 @@ from .common import Shared, WordHash, batches_by, rows_of, signed, text_bytes, t
 from .components import components
 
 SHINGLE = 5
-MINIMA, BANDS, ROWS = 168, 48, 7
-#: Links need 100 * intersection >= PERCENT * union.
+MINIMA = 168
+#: Links need 100 * intersection >= percent * union; this is the contract's percent.
 PERCENT = 85
-#: Signatures that agree less than this are dropped: at J = 0.85 that is more than five standard deviations off.
-LEAST_AGREEMENT = 0.70
+MOST_MISSED = 1e-7
+#: Signatures that agree less than the least similarity by more than so many standard deviations are dropped.
+DEVIATIONS = 5.44
 SMALL = 24
 #: Texts in a block of the members outside a group's largest component, and of all its members.
 OUTSIDE_BLOCK, BLOCK = 256, 512
@@ -50,11 +53,23 @@ MAP_BITS = 25
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, MINIMA, np.uint64) << np.uint64(1) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, MINIMA, np.uint64)
-#: Which minima a band reads: every minimum once in the first half of the bands, once in the second.
-_BAND_ROWS = np.concatenate([np.arange(MINIMA), _rng.permutation(MINIMA)]).reshape(BANDS, ROWS)
+#: Which minima the bands read in turn: every minimum once in the first half of the bands, once in the second.
+_BAND_ORDER = np.concatenate([np.arange(MINIMA), _rng.permutation(MINIMA)])
 _WORDS = WordHash()
 
 
+def band_rows(percent: int) -> np.ndarray:
+    """The minima that each band reads, a row for each band."""
+    fits = [r for r in range(1, MINIMA + 1) if MINIMA % r == 0 and (1 - (percent / 100) ** r) ** (2 * MINIMA // r) <= MOST_MISSED]
+    return _BAND_ORDER.reshape(-1, max(fits, default=1))
+
+
+def least_agreement(percent: int) -> float:
+    """0.700 for 85, 0.632 for 80."""
+    j = percent / 100
+    return j - DEVIATIONS * math.sqrt(j * (1 - j) / MINIMA)
+
+
 def shingle_set(data: bytes | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a text."""
     words = (data or b"").lower().split()
@@ -105,40 +120,43 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, cls binary, signature binary")
 
 
-def _banded(classes: DataFrame) -> DataFrame:
+def _banded(classes: DataFrame, percent: int) -> DataFrame:
     """bucket, cls, n for every band of every class."""
+    read = band_rows(percent)
+    bands, size = read.shape
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
                 sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, MINIMA)
-                key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(sig), 1), np.uint64)
-                for r in range(ROWS):
-                    key = (key ^ sig[:, _BAND_ROWS[:, r]]) * np.uint64(0xFF51AFD7ED558CCD)
+                key = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(sig), 1), np.uint64)
+                for r in range(size):
+                    key = (key ^ sig[:, read[:, r]]) * np.uint64(0xFF51AFD7ED558CCD)
                     key ^= key >> np.uint64(32)
-                at = pa.array(np.repeat(np.arange(len(sig)), BANDS))
+                at = pa.array(np.repeat(np.arange(len(sig)), bands))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), batch.column("cls").take(at), batch.column("n").take(at)], names=["bucket", "cls", "n"])
 
     return classes.select("cls", "n", "signature").mapInArrow(run, "bucket bigint, cls binary, n bigint")
 
 
-def _near(a: str, b: str):
+def _near(a: str, b: str, percent: int):
     """The length bound of the similarity."""
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree well enough, with a document of each."""
     left = classes.select(F.col("cls").alias("a"), F.col("doc").alias("a_doc"), F.col("signature").alias("a_sig"))
     right = classes.select(F.col("cls").alias("b"), F.col("doc").alias("b_doc"), F.col("signature").alias("b_sig"))
+    least = least_agreement(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA) for c in ("a_sig", "b_sig"))
-                good = (x == y).mean(axis=1) >= LEAST_AGREEMENT
+                good = (x == y).mean(axis=1) >= least
                 yield batch.select(["a", "b", "a_doc", "b_doc"]).filter(pa.array(good))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_doc", "b_doc", "a_sig", "b_sig")
@@ -163,7 +181,7 @@ def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn("_spot", spot).mapInArrow(run, docs.schema)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of classes whose full sets are similar. Rows that share an id but are of another class don't count."""
     ids = pairs.select(F.col("a_doc").alias("doc_id")).unionByName(pairs.select(F.col("b_doc").alias("doc_id")))
     texts = _some(docs, ids)
@@ -191,7 +209,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 x, y = of(a, a_data), of(b, b_data)
                 if len(x) and len(y):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                    if 100 * both >= percent * (len(x) + len(y) - both):
                         yield a, b
 
         yield from batches_by(rows(), pa.schema([("u", pa.binary()), ("v", pa.binary())]))
@@ -199,14 +217,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "u binary, v binary")
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket of `rows` (bucket, cls, n, comp)."""
     one, other = (rows.select("bucket", F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("comp").alias(f"{c}_comp")) for c in ("a", "b"))
-    pairs = one.join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & _near("a_n", "b_n"))
+    pairs = one.join(other, "bucket").filter((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & _near("a_n", "b_n", percent))
     return pairs.select("a", "b").distinct()
 
 
-def _within_groups(rows: DataFrame, classes: DataFrame, docs: DataFrame, shared: Shared) -> DataFrame:
+def _within_groups(rows: DataFrame, classes: DataFrame, docs: DataFrame, shared: Shared, percent: int) -> DataFrame:
     """Links (u, v) across components within groups of buckets that share members."""
     least = rows.groupBy("bucket").agg(F.min("cls").alias("u"))
     groups = components(rows.select("bucket", F.col("cls").alias("v")).join(least, "bucket").select("u", "v"))
@@ -240,43 +258,43 @@ def _within_groups(rows: DataFrame, classes: DataFrame, docs: DataFrame, shared:
                 own = np.zeros(len(values), bool)
                 own[at[values[at] == x]] = True
                 both = np.add.reduceat(own[places].astype(np.int64), starts)
-                near = {comp[told[j]]: told[j] for j in np.flatnonzero(100 * both >= PERCENT * (len(x) + sizes - both)) if comp[told[j]] != comp[k]}
+                near = {comp[told[j]]: told[j] for j in np.flatnonzero(100 * both >= percent * (len(x) + sizes - both)) if comp[told[j]] != comp[k]}
                 found += [(cls[k], cls[j]) for j in near.values()]
         return pa.table({"u": pa.array([a for a, _ in found], pa.binary()), "v": pa.array([b for _, b in found], pa.binary())})
 
     return all_.unionByName(outside).groupBy("grp", "_block", "_outside").applyInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; texts are linked from a similarity of `percent` hundredths."""
     spark = documents.sparkSession
     tune(spark)
     shared = Shared(spark, "near-dup")
     docs = documents.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("data"))
     rows = shared.write(_signed(docs), "rows")
     classes = shared.write(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature", ignorenulls=True).alias("signature")), "classes")
-    banded = _banded(classes)
+    banded = _banded(classes, percent)
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = shared.write(banded.join(sizes, "bucket"), "members")
 
     weight = members.groupBy("cls").agg(F.sum("size").alias("weight"))
     weighted = members.join(weight, "cls").select("bucket", "cls", "n", "weight")
     hubs = weighted.groupBy("bucket").agg(F.max(F.struct("weight", "cls", "n")).alias("hub")).select("bucket", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"))
-    spokes = members.join(hubs, "bucket").filter((F.col("cls") != F.col("hub")) & _near("n", "hub_n"))
+    spokes = members.join(hubs, "bucket").filter((F.col("cls") != F.col("hub")) & _near("n", "hub_n", percent))
     pairs = spokes.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    tried = shared.write(_agreeing(pairs, classes), "tried")
-    links = shared.write(_confirmed(tried, docs), "links")
+    tried = shared.write(_agreeing(pairs, classes, percent), "tried")
+    links = shared.write(_confirmed(tried, docs, percent), "links")
 
     first = shared.write(components(links), "first")
     placed = members.select("bucket", "cls", "n").join(first.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
     open_ = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "size")
     open_ = shared.write(placed.join(open_, "bucket"), "open")
-    rest = _across(open_.filter(F.col("size") <= SMALL)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    also = shared.write(_agreeing(rest, classes), "also")
-    more = [shared.write(_confirmed(also, docs), "more")] if not also.isEmpty() else []
+    rest = _across(open_.filter(F.col("size") <= SMALL), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    also = shared.write(_agreeing(rest, classes, percent), "also")
+    more = [shared.write(_confirmed(also, docs, percent), "more")] if not also.isEmpty() else []
     large = open_.filter(F.col("size") > SMALL)
     if not large.isEmpty():
-        more.append(shared.write(_within_groups(large, classes, docs, shared), "within"))
+        more.append(shared.write(_within_groups(large, classes, docs, shared, percent), "within"))
     if more:
         for x in more:
             links = links.unionByName(x)
