@@ -3,16 +3,17 @@
 Tokens are the lower-cased words of a text and one end. For counts r up to GT_MOST, Good-Turing discounts
 d(r) = ((r+1) n(r+1) / (r n(r)) - A) / (1 - A) with A = (GT_MOST+1) n(GT_MOST+1) / n(1) hold; larger counts stay.
   p(w)     = d(c(w)) c(w) / N; what the discounts free is the probability of the unknown token
-  p(w | h) = d(c(h,w)) c(h,w) / c(h) if c(h,w) >= MIN_PAIR, else bow(h) p(w)
+  p(w | h) = d(c(h,w)) c(h,w) / c(h) if c(h,w) >= min_pair, else bow(h) p(w)
   bow(h)   = (1 - sum of p(w | h)) / (1 - sum of p(w)), both over the kept pairs of h: each p(. | h) sums to 1
 A context of which no discount frees anything has its p(w | h) scaled by c(h) / (c(h) + 1), to leave some for others.
-Pairs seen once are not kept, as is usual in Katz's model; their mass goes to the backoff.
+op8_katz keeps every pair that training holds (min_pair = 1). By default, pairs seen once are left to the backoff.
 
 How it runs. Texts become chunks of about CHUNK tokens: distinct word hashes, and tokens as places among them, written
 once as a table bucketed by chunk. Single words are counted and looked up as rows. Pairs are counted by tables
 partitioned by word: each chunk sends its distinct pairs, packed, once; a word that makes up a 4096th of all tokens or
 more is split further by its contexts, so no bucket is hot. The bucket answers each chunk with its pairs' counts and
-passes on the kept pairs, from which the backoff weights are summed by context. At last each chunk meets its answers
+passes on the kept pairs by context, each with its word's count: the sum over the word's pairs, which all are in the
+bucket, or the broadcast count of a word that is split. From these the backoff weights are summed by context. At last each chunk meets its answers
 and is scored, token by token; chunks don't move for that, as their table is bucketed.
 
 Defined cases: null and empty texts consist of the end alone; a row without an id is in training, as it has no
@@ -36,6 +37,7 @@ from .common import Shared, WordHash, mix, rows_of, signed, text_bytes, tune
 
 HELD_OUT_OF, HELD_OUT = 7, 2
 GT_MOST = 5
+#: Least count of a kept pair, if the caller states none.
 MIN_PAIR = 2
 CHUNK = 1_000_000
 #: Distinct pairs that a bucket takes, at most about.
@@ -190,8 +192,8 @@ _ANSWER = "kind int, key bigint, bucket bigint, a binary, b binary, c binary"
 ANSWERS, KEPT, COUNTS = 0, 1, 2
 
 
-def _answered(rows: DataFrame) -> DataFrame:
-    """By bucket: the counts of each chunk's pairs; the kept pairs; counts of counts."""
+def _answered(rows: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, min_pair: int) -> DataFrame:
+    """By bucket: the counts of each chunk's pairs; the kept pairs' contexts, counts and words' counts; counts of counts."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -206,10 +208,16 @@ def _answered(rows: DataFrame) -> DataFrame:
         total = np.add.reduceat(count[order], first)
         of_each = np.empty(len(word), np.int64)
         of_each[order] = np.repeat(total, np.diff(np.append(first, len(w))))
-        of_each[of_each < MIN_PAIR] = 0
+        of_each[of_each < min_pair] = 0
         rows = [(ANSWERS, part, bucket, _planes(x.astype(np.uint32)), None, None) for part, x in zip(table.column("part").to_pylist(), np.split(of_each, np.cumsum(sizes)[:-1]), strict=True)]
-        kept = total >= MIN_PAIR
-        rows.append((KEPT, bucket, bucket, w[first][kept].tobytes(), f[first][kept].tobytes(), total[kept].tobytes()))
+        w, f = w[first], f[first]
+        edges = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        of_word = np.repeat(np.add.reduceat(total, edges), np.diff(np.append(edges, len(w))))
+        split = np.isin(w, hot)
+        of_word[split] = hot_counts[np.searchsorted(hot, w[split])]
+        kept = np.flatnonzero(total >= min_pair)
+        kept = kept[np.argsort(f[kept], kind="stable")]
+        rows.append((KEPT, bucket, bucket, _planes(np.diff(f[kept], prepend=np.uint64(0))), _planes(total[kept].astype(np.uint32)), _planes(of_word[kept])))
         rows.append((COUNTS, bucket, bucket, np.bincount(np.minimum(total, GT_MOST + 2), minlength=GT_MOST + 3).astype(np.int64).tobytes(), None, None))
         types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kind", "key", "bucket", "a", "b", "c"])
@@ -217,16 +225,6 @@ def _answered(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, _ANSWER)
 
 
-def _kept_pairs(answers: DataFrame) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b, c = (np.frombuffer(batch.column(x)[k].as_py(), np.int64) for x in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["h", "context", "c"])
-
-    return answers.filter(F.col("kind") == KEPT).select("a", "b", "c").mapInArrow(run, "h bigint, context bigint, c bigint")
-
-
 class Model:
     """The few numbers that all tasks share."""
 
@@ -249,9 +247,22 @@ class Model:
     def pair(self, c: np.ndarray, of: np.ndarray) -> np.ndarray:
         return self._kept(self.d_pair, c) / np.maximum(of, 1)
 
-    @staticmethod
-    def sql(d: list[float], c: str):
-        return F.coalesce(*[F.when(F.col(c) == r, F.lit(d[r] * r)) for r in range(1, GT_MOST + 1)], F.col(c).cast("double"))
+
+def _context_sums(answers: DataFrame, model: Model) -> DataFrame:
+    """context, q, p: sums of the discounted counts and of the words' probabilities over a context's kept pairs, by bucket."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, c, of_word = (_unplanes(batch.column(x)[k].as_py(), kind) for x, kind in enumerate((np.uint64, np.uint32, np.int64)))
+                if not len(a):
+                    continue
+                context = np.cumsum(a, dtype=np.uint64)
+                first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+                q, p = np.add.reduceat(model._kept(model.d_pair, c.astype(np.int64)), first), np.add.reduceat(model.word(of_word), first)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(context[first])), pa.array(q), pa.array(p)], names=["context", "q", "p"])
+
+    return answers.filter(F.col("kind") == KEPT).select("a", "b", "c").mapInArrow(run, "context bigint, q double, p double")
 
 
 def _scored(chunks: DataFrame, model: Model, hot: np.ndarray, buckets: int, id_type: str) -> DataFrame:
@@ -281,7 +292,7 @@ def _scored(chunks: DataFrame, model: Model, hot: np.ndarray, buckets: int, id_t
     return chunks.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pair: int = MIN_PAIR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = documents.sparkSession
     tune(spark)
@@ -302,11 +313,15 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     end = int(signed(np.array([_END]))[0])
     n_docs = counted.filter(F.col("h") == end).agg(F.sum("c")).first()[0] or 0  # an end for each training text
     model = Model(n_tokens, stats["v"], n_docs, [0, *[stats[f"n{r}"] for r in range(1, GT_MOST + 2)]])
-    hot_rows = counted.filter(F.col("c") * HOT_PART >= max(n_tokens, 1)).select("h").toArrow()  # at most HOT_PART rows
-    hot = np.sort(hot_rows["h"].to_numpy().view(np.uint64)) if hot_rows.num_rows else np.empty(0, np.uint64)
+    hot_rows = counted.filter(F.col("c") * HOT_PART >= max(n_tokens, 1)).select("h", "c").toArrow()  # at most HOT_PART rows
+    hot, hot_counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    if hot_rows.num_rows:
+        hot = hot_rows["h"].to_numpy().view(np.uint64)
+        order = np.argsort(hot)
+        hot, hot_counts = hot[order], hot_rows["c"].to_numpy()[order]
     buckets = max(1, math.ceil(total / 6 / BUCKET_PAIRS))
 
-    answers = shared.write(_answered(_pair_rows(chunks, hot, buckets)), "answers")
+    answers = shared.write(_answered(_pair_rows(chunks, hot, buckets), hot, hot_counts, min_pair), "answers")
     n_pairs = np.zeros(GT_MOST + 3, np.int64)
     for row in answers.filter(F.col("kind") == COUNTS).select("a").toLocalIterator():  # a few numbers for each bucket
         n_pairs += np.frombuffer(row["a"], np.int64)
@@ -314,9 +329,7 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     begin = int(signed(np.array([_BEGIN]))[0])
     of_context = counted.select(F.col("h").alias("context"), F.col("c").alias("of")).unionByName(spark.createDataFrame([(begin, n_docs)], "context bigint, of bigint"))
-    kept = _kept_pairs(answers).withColumn("q", Model.sql(model.d_pair, "c")).drop("c")
-    kept = kept.join(counted.withColumn("p", Model.sql(model.d_word, "c") * (model.scale / max(n_tokens, 1))).select("h", "p"), "h")
-    sums = kept.groupBy("context").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).join(of_context, "context")
+    sums = _context_sums(answers, model).groupBy("context").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).join(of_context, "context")
     full = F.col("q") > F.col("of") * (1 - 1e-9)
     share = F.when(full, F.col("of") / (F.col("of") + 1)).otherwise(F.lit(1.0))
     sums = sums.withColumn("share", share)

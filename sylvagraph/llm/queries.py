@@ -75,7 +75,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), min_pair=1)
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,49 @@
+"""op8_katz keeps all pairs of training, those seen once with their Good-Turing discount."""
+
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from sylvagraph.llm import katz, queries
+
+
+def brute(rows):
+    """doc_id, score of each row with every observed pair kept."""
+    docs = [(i, t.encode().lower().split() + ["end"]) for i, t in rows]
+    one, two = Counter(), Counter()
+    for i, w in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(w)
+            two.update(zip(["begin", *w[:-1]], w, strict=True))
+    n, of = sum(one.values()), {**one, "begin": one["end"]}
+    d1, d2 = (katz.discounts([0] + [sum(c == r for c in x.values()) for r in range(1, 7)]) for x in (one, two))
+    cut = lambda d, c: d[c] * c if c <= 5 else c
+    freed = sum(c - cut(d1, c) for c in one.values())
+    p = {w: cut(d1, c) / n for w, c in one.items()}
+    q, s = defaultdict(float), defaultdict(float)
+    for (h, w), c in two.items():
+        q[h] += cut(d2, c)
+        s[h] += p[w]
+    share = {h: of[h] / (of[h] + 1) if q[h] > of[h] * (1 - 1e-9) else 1 for h in q}
+    bow = {h: (1 - share[h] * q[h] / of[h]) / (1 - s[h]) for h in q}
+    prob = lambda h, w: share[h] * cut(d2, two[h, w]) / of[h] if two[h, w] else bow.get(h, 1) * p.get(w, freed / n)
+    for h in q:
+        assert abs(sum(prob(h, w) for w in one) + bow[h] * freed / n - 1) < 1e-9
+    return {i: sum(math.log10(prob(h, x)) for h, x in zip(["begin", *w[:-1]], w, strict=True)) for i, w in docs}
+
+
+@pytest.mark.parametrize("hot_part", [4096, 50])
+def test_all_pairs(spark, monkeypatch, tmp_path, hot_part):
+    monkeypatch.setattr(katz, "BUCKET_PAIRS", 400)
+    monkeypatch.setattr(katz, "HOT_PART", hot_part)
+    rnd = random.Random(18)
+    words = [f"v{int(rnd.paretovariate(0.7))}" for _ in range(5000)]
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randrange(60)))) for k in range(150)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in queries.op8_katz(spark, str(tmp_path)).collect()}
+    expected = brute(rows)
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - expected[k]) < 1e-6 for k in got)
