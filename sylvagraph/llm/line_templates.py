@@ -7,8 +7,11 @@ MATCH of its constants; the template counts if at least FIXED of its positions a
 as it stands is a template of its own, so leaves that mix several kinds of lines lose none. Templates that stand in
 `min_docs` documents or more recur, and their lines are dropped.
 
-A document of which lines with more than MOST_DROPPED of its words recur is left whole: it is a copy rather than a
-text with boilerplate, and documents as wholes are for near-duplicate detection to judge.
+A document of which lines with more than MOST_DROPPED of its words recur may be a copy rather than a text with
+boilerplate, and documents as wholes are for near-duplicate detection to judge. For these documents templates are
+counted again, with a group of copies as one document, and only lines of templates that still recur are dropped. Copies
+are found among these documents' distinct texts: texts that share one of COPY_MINIMA minimum hashes of their word
+shingles are held against the least of them, and are its copies if their shingle sets have a similarity of COPY.
 
 Leaves and lines are counted by documents with partial aggregation and joined by shuffles that Spark can split, so a
 line in a third of all documents brings no task more than its share.
@@ -30,6 +33,7 @@ MIN_TOKENS = 4
 MIN_DOCS = 10
 CONSTANT, FIXED, MATCH = 0.5, 0.7, 0.9
 MOST_DROPPED = 0.5
+SHINGLE, COPY_MINIMA, COPY = 5, 8, 0.7
 WILDCARD = "<*>"
 
 
@@ -40,26 +44,28 @@ def _tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _row (tells texts of one id apart), _line (its number), _n, _leaf, _tokens of every line of enough tokens."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), F.posexplode(F.split(text_col, "\n")).alias("_line", "_text"))
-    rows = rows.select("_id", "_row", "_line", _tokens(F.col("_text")).alias("_tokens")).withColumn("_n", F.size("_tokens")).filter(F.col("_n") >= MIN_TOKENS)
+    """_id, _row (tells texts of one id apart), _all (words of the text), _line (its number), _n, _leaf, _tokens of every line of enough tokens."""
+    all_ = F.regexp_count(text_col, F.lit(NOT_SPACE + "+")).alias("_all")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), all_, F.col(text_col).alias("_doc"))
+    # the projection above runs once for a text, one beside the generator would run for each of its lines
+    rows = rows.select("_id", "_row", "_all", F.posexplode(F.split("_doc", "\n")).alias("_line", "_text"))
+    rows = rows.select("_id", "_row", "_all", "_line", _tokens(F.col("_text")).alias("_tokens")).withColumn("_n", F.size("_tokens")).filter(F.col("_n") >= MIN_TOKENS)
     return rows.withColumn("_leaf", F.xxhash64("_n", F.slice("_tokens", 1, DEPTH)))
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """_id, _row, _line, _n of every line that follows a recurring template."""
-    shared = Shared(docs.sparkSession, "templates")
+def _recurring(docs: DataFrame, id_col: str, text_col: str, min_docs: int, shared: Shared) -> tuple[DataFrame, DataFrame]:
+    """_id, _row, _line, _n, _template of every line and recurring template that it follows; _row, _all of every text."""
     lines = _lines(docs, id_col, text_col)
-    keys = shared.write(lines.select("_id", "_row", "_line", "_n", "_leaf", F.xxhash64("_tokens").alias("_full")), "keys")
+    keys = shared.write(lines.select("_id", "_row", "_all", "_line", "_n", "_leaf", F.xxhash64("_tokens").alias("_full")), "keys")
     # documents per line and per leaf, counting each document once
     by_doc = keys.groupBy("_leaf", "_full", "_id").agg(F.count(F.lit(1)).alias("_c"))
     whole = shared.write(by_doc.groupBy("_leaf", "_full").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") >= min_docs).select("_leaf", "_full"), "whole")
     leaves = keys.groupBy("_leaf", "_id").agg(F.count(F.lit(1)).alias("_c")).groupBy("_leaf").agg(F.count(F.lit(1)).alias("_docs"), F.sum("_c").alias("_lines")).filter(F.col("_docs") >= min_docs)
     leaves = shared.write(leaves.select("_leaf", "_lines"), "leaves")
-    same = keys.join(whole, ["_leaf", "_full"]).select("_id", "_row", "_line", "_n")
+    same = keys.join(whole, ["_leaf", "_full"]).select("_id", "_row", "_line", "_n", F.xxhash64("_leaf", "_full").alias("_template"))
 
     # lines of recurring leaves, with their tokens
-    open_ = shared.write(lines.join(leaves, "_leaf"), "open")
+    open_ = shared.write(lines.drop("_all").join(leaves, "_leaf"), "open")
     tokens = open_.select("_leaf", "_lines", F.posexplode("_tokens").alias("_pos", "_token")).groupBy("_leaf", "_lines", "_pos", "_token").agg(F.count(F.lit(1)).alias("_c"))
     fixed = tokens.filter((F.col("_c") >= CONSTANT * F.col("_lines")) & (F.col("_token") != WILDCARD)).groupBy("_leaf", "_pos").agg(F.max_by("_token", F.struct("_c", "_token")).alias("_token"))
     templates = fixed.groupBy("_leaf").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_pos", "_token")))).alias("_constants"))  # at most a line's tokens
@@ -69,21 +75,58 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     follow = open_.join(template, "_leaf").filter(agree >= MATCH * F.size("_at")).select("_leaf", "_id", "_row", "_line", "_n")
     follow = shared.write(follow, "follow")
     often = follow.select("_leaf", "_id").distinct().groupBy("_leaf").agg(F.count(F.lit(1)).alias("_docs")).filter(F.col("_docs") >= min_docs).select("_leaf")
-    return same.unionByName(follow.join(often, "_leaf").select("_id", "_row", "_line", "_n")).distinct()
+    found = same.unionByName(follow.join(often, "_leaf").select("_id", "_row", "_line", "_n", F.col("_leaf").alias("_template"))).distinct()
+    return found, keys.groupBy("_row").agg(F.first("_all").alias("_all"))
+
+
+def _copies(texts: DataFrame, shared: Shared) -> DataFrame:
+    """_key, _root: of the texts (_key, _text), those that aren't the least of their group of copies."""
+    words = F.filter(F.split(F.lower("_text"), SPACE + "+"), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - SHINGLE + 1, F.lit(1)))
+    sets = texts.select("_key", words.alias("_w")).select("_key", F.array_distinct(F.transform(starts, lambda k: F.xxhash64(F.slice("_w", k, SHINGLE)))).alias("_set"))
+    sets = shared.write(sets, "sets")
+    minima = F.array(*[F.array_min(F.transform("_set", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(COPY_MINIMA)])
+    buckets = sets.select("_key", F.posexplode(minima).alias("_k", "_bucket"))
+    hubs = buckets.groupBy("_k", "_bucket").agg(F.min("_key").alias("_hub"))
+    pairs = buckets.join(hubs, ["_k", "_bucket"]).filter("_hub < _key").select("_key", "_hub").distinct()
+    both = pairs.join(sets, "_key").join(sets.select(F.col("_key").alias("_hub"), F.col("_set").alias("_other")), "_hub")
+    shared_ = F.size(F.array_intersect("_set", "_other"))
+    links = both.filter(shared_ >= COPY * (F.size("_set") + F.size("_other") - shared_)).groupBy("_key").agg(F.min("_hub").alias("_root"))
+    links = shared.write(links, "copies")
+    further = links.select(F.col("_key").alias("_root"), F.col("_root").alias("_next"))
+    return links.join(further, "_root", "left").select("_key", F.coalesce("_next", "_root").alias("_root"))
+
+
+def _judged(found: DataFrame, totals: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_docs: int, shared: Shared) -> DataFrame:
+    """_id, _row, _line to drop: in texts that mostly recur, only lines that recur with copies counted once."""
+    words = found.select("_row", "_line", "_n").distinct().groupBy("_row").agg(F.sum("_n").alias("_words"))
+    mostly = shared.write(words.join(totals, "_row").filter(F.col("_words") > MOST_DROPPED * F.col("_all")).select("_row"), "mostly")
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).alias("_text")).join(mostly, "_row", "left_semi")
+    texts = shared.write(texts.select("_row", F.xxhash64("_text").alias("_key"), "_text"), "texts")
+    roots = _copies(texts.select("_key", "_text").dropDuplicates(["_key"]), shared)
+    roots = texts.select("_row", "_key").distinct().join(roots, "_key", "left").select("_row", F.coalesce("_root", "_key").alias("_root"))
+    placed = shared.write(found.join(roots, "_row", "left"), "placed")
+    # a group of copies is one unit, any other document one for its id
+    unit = F.when(F.col("_root").isNotNull(), F.struct(F.lit(True).alias("g"), F.col("_root").alias("u"))).otherwise(F.struct(F.lit(False).alias("g"), F.xxhash64("_id").alias("u")))
+    units = placed.select("_template", unit.alias("_unit")).distinct().groupBy("_template").agg(F.count(F.lit(1)).alias("_units"))
+    often = units.filter(F.col("_units") >= min_docs).select("_template")
+    alone = placed.filter("_root is null").select("_id", "_row", "_line")
+    return alone.unionByName(placed.filter("_root is not null").join(often, "_template", "left_semi").select("_id", "_row", "_line")).distinct()
 
 
 def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, into: str = "_dropped") -> DataFrame:
     """The documents with their text rid of recurring lines, and the numbers of the dropped lines in `into`."""
     tune(docs.sparkSession)
-    found = recurring(docs, id_col, text_col, min_docs).groupBy("_id", "_row").agg(F.array_sort(F.collect_list("_line")).alias("_numbers"), F.sum("_n").alias("_words"))
+    shared = Shared(docs.sparkSession, "templates")
+    found, totals = _recurring(docs, id_col, text_col, min_docs, shared)
+    found = _judged(shared.write(found, "found"), totals, docs, id_col, text_col, min_docs, shared)
+    found = found.groupBy("_id", "_row").agg(F.array_sort(F.collect_list("_line")).alias("_numbers"))
     own = docs.withColumn("_own", F.xxhash64(id_col, text_col))
     joined = own.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left")
-    words = F.regexp_count(text_col, F.lit(NOT_SPACE + "+"))
-    numbers = F.when(F.col("_words") <= MOST_DROPPED * words, F.col("_numbers"))
     lines = F.split(text_col, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(into))
     # arrays are bound once by a one-element transform
     kept = F.transform(F.array(F.struct(lines.alias("l"), stay.alias("s"))), lambda x: F.array_join(F.transform(x["s"], lambda i: F.get(x["l"], i)), "\n"))[0]
-    cut = joined.withColumn(into, F.coalesce(numbers, F.array().cast("array<int>")))
+    cut = joined.withColumn(into, F.coalesce("_numbers", F.array().cast("array<int>")))
     cut = cut.withColumn(text_col, F.when(F.size(into) > 0, kept).otherwise(F.col(text_col)))
     return cut.select(*[c for c in docs.columns if c != into], into)
