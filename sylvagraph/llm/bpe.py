@@ -5,15 +5,18 @@ tokens of its prefixes: the last token of a prefix is the one token t that ends
 token of the prefix before t (merging the two gives back just those two), and only one such t exists. So a reader
 needs, for each earlier boundary from which a vocabulary token could still grow over the bytes read, the last token
 there and the trie node reached since. Those pairs are the transducer's state; a step on a byte is computed when first
-needed and remembered (lazy determinisation). A token is emitted as soon as all live boundaries agree on it, which is
-after at most the longest token's length of further bytes. The store of steps is bounded: when it is full, an input
-that leaves the remembered part is read on nondeterministically from its last settled token, longest tokens first.
+needed and remembered (lazy determinisation). A token on which all live boundaries agree is settled, which it is after
+at most the longest token's length of further bytes; tokens are emitted once they are settled and more than LOOKAHEAD
+are held. The store of steps is bounded: when it is full, it is emptied but for the present state, and refilled.
 
 Tokens that don't encode to themselves can't occur in any encoding and are left out of the trie.
 
+Pieces of up to SHORT_PIECE characters are remembered with their ids, in a bounded memo.
+
 Defined cases: null text encodes as the empty text; an empty text has no tokens; a piece of any length is read byte by
-byte in memory bounded by the transducer's store and the longest token; ids outside the vocabulary raise ValueError
-when they are decoded; a null list of ids decodes to null.
+byte, holding the bounded stores and the ids that it gives; null ids and ids outside the vocabulary raise ValueError
+when they are decoded; a null list of ids decodes to null; bytes that aren't UTF-8 decode to U+FFFD; repeated rows give
+a row each; an empty table gives an empty one; other columns pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, tune
+from .common import fresh, text_bytes, tune
 
 #: Remembered steps and token pairs of the transducer, and remembered pieces, of one worker.
-MOST_STEPS = 220_000
-MOST_PAIRS = 150_000
-MOST_PIECES = 200_000
+MOST_STEPS = 150_000
+MOST_PAIRS = 300_000
+MOST_PIECES = 400_000
+#: Tokens that a chain holds before it is searched for a settled part.
+LOOKAHEAD = 1
+#: Bytes that are read without remembering before a state is remembered again.
+BEYOND = 48
+#: Tokens that decoding takes at a time.
+DECODED_AT_ONCE = 1 << 16
 #: Pieces up to this many characters are remembered whole.
 SHORT_PIECE = 64
 END = 1 << 60
@@ -59,14 +69,15 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], never: bytes | None = N
 class Transducer:
     """bytes -> token ids, left to right.
 
-    A state is the last settled token and the live boundaries, oldest first, each with the trie node of the bytes since
-    it and the tokens between the settled part and it. What all boundaries begin with is settled and emitted.
+    A chain is the tokens since the last settled one; chains are interned, each as a token after a shorter chain, a root
+    standing for the settled token. A state is the live boundaries, oldest first, each as the trie node of the bytes
+    since it and the chain up to it, in one flat tuple. Beyond LOOKAHEAD tokens, what all live chains begin with is
+    settled and emitted, which is possible after at most the longest token's length of further bytes.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.most = max(map(len, ranks), default=1)
         self.child: dict[int, int] = {}  # node << 8 | byte
         self.token = [-1]
         inner = set()
@@ -81,10 +92,17 @@ class Transducer:
         self.leaf = [n not in inner for n in range(len(self.token))]
         self.pack = {i: i.to_bytes(4, "little") for i in ranks.values()}
         self._spines: dict[int, tuple] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self.states: list[tuple] = [(-1, ((0, ()),))]
-        self.ids = {self.states[0]: 0}
-        self.steps: dict[int, tuple[int, bytes, int]] = {}  # next state, emitted ids, bytes that they stand for
+        self._pairs: dict[int, bool] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        """A store that holds the start alone."""
+        self.last, self.before, self.depth = [-1], [-1], [0]  # of chains
+        self._roots, self._chains = {-1: 0}, {}
+        self.states: list[tuple] = [(0, 0)]
+        self.ids = {(0, 0): 0}
+        self.steps: dict[int, int] = {}  # next state, or its complement if the step emits
+        self.emits: dict[int, bytes] = {}
         self.ends: dict[int, bytes] = {}
 
     def _spine(self, i: int) -> tuple[bool, list, list]:
@@ -113,49 +131,66 @@ class Transducer:
         The parts at the border live side by side until the one whose own merge has the lower rank goes up; a merge of
         the two would have to come first. Of equal ranks the merge further left comes first.
         """
-        if (known := self._pairs.get((a, b))) is None:
-            known = self.whole(b)
-            if a >= 0 and known:
-                ranks, right, left = self.ranks, self._spine(a)[1], self._spine(b)[2]
-                i = j = 0
-                while True:
-                    (p, p_ends), (q, q_ends) = right[i], left[j]
-                    across = ranks.get(p + q, END)
-                    if across < p_ends and across <= q_ends and across != END:
-                        known = False
-                        break
-                    if p_ends == END and q_ends == END:
-                        break
-                    if p_ends <= q_ends:
-                        i += 1
-                    else:
-                        j += 1
-            if len(self._pairs) >= MOST_PAIRS:
-                self._pairs.clear()
-            self._pairs[a, b] = known
+        known = self.whole(b)
+        if a >= 0 and known:
+            ranks, right, left = self.ranks, self._spine(a)[1], self._spine(b)[2]
+            i = j = 0
+            while True:
+                (p, p_ends), (q, q_ends) = right[i], left[j]
+                across = ranks.get(p + q, END)
+                if across < p_ends and across <= q_ends and across != END:
+                    known = False
+                    break
+                if p_ends == END and q_ends == END:
+                    break
+                if p_ends <= q_ends:
+                    i += 1
+                else:
+                    j += 1
+        if len(self._pairs) >= MOST_PAIRS:
+            self._pairs.clear()
+        self._pairs[a << 32 | b] = known
         return known
 
-    def _step(self, state: tuple, byte: int) -> tuple[tuple, tuple]:
-        """The next state and the tokens that it settles."""
-        settled, boundaries = state
-        live, made = [], None
-        for node, held in boundaries:
-            node = self.child.get(node << 8 | byte)
-            if node is not None:
-                if made is None and (t := self.token[node]) >= 0 and self.fits(held[-1] if held else settled, t):
-                    made = (*held, t)
-                if not self.leaf[node]:
-                    live.append((node, held))
-        if made is None:
-            raise ValueError("the vocabulary lacks a single byte")
-        same = len(made)
-        for _, held in live:
-            same = min(same, len(held))
-            while held[:same] != made[:same]:
-                same -= 1
-            if not same:
-                return (settled, (*live, (0, made))), ()
-        return (made[same - 1], (*[(n, held[same:]) for n, held in live], (0, made[same:]))), made[:same]
+    def _root(self, token: int) -> int:
+        if (c := self._roots.get(token)) is None:
+            c = self._roots[token] = len(self.last)
+            self.last.append(token)
+            self.before.append(-1)
+            self.depth.append(0)
+        return c
+
+    def _chain(self, before: int, token: int) -> int:
+        key = before << 32 | token
+        if (c := self._chains.get(key)) is None:
+            c = self._chains[key] = len(self.last)
+            self.last.append(token)
+            self.before.append(before)
+            self.depth.append(self.depth[before] + 1)
+        return c
+
+    def _since(self, chain: int, start: int) -> list[int]:
+        """The tokens of a chain after its part `start`."""
+        tokens = []
+        while chain != start:
+            tokens.append(self.last[chain])
+            chain = self.before[chain]
+        return tokens[::-1]
+
+    def _top(self, chain: int) -> int:
+        while self.before[chain] >= 0:
+            chain = self.before[chain]
+        return chain
+
+    def _moved(self, state: tuple, start: int, root: int) -> tuple:
+        """The state with its chains' common part `start` replaced by a root."""
+        out = []
+        for k in range(0, len(state), 2):
+            chain = root
+            for t in self._since(state[k + 1], start):
+                chain = self._chain(chain, t)
+            out += (state[k], chain)
+        return tuple(out)
 
     def _id(self, state: tuple) -> int:
         s = self.ids.setdefault(state, len(self.states))
@@ -163,54 +198,162 @@ class Transducer:
             self.states.append(state)
         return s
 
-    def _learn(self, s: int, byte: int) -> tuple[int, bytes, int]:
-        new, out = self._step(self.states[s], byte)
-        known = self.steps[s << 8 | byte] = (self._id(new), b"".join([self.pack[i] for i in out]), sum([len(self.bytes_of[i]) for i in out]))
-        return known
-
-    def _search(self, piece: bytes, at: int, before: int) -> bytes:
-        """The ids from `at` on, after token `before`: the one chain of tokens in which all neighbours fit."""
-        n, ranks, fits = len(piece), self.ranks, self.fits
-        chain: list[tuple[int, int, int, int]] = []  # where a token starts, the token before it, its length, itself
-        failed: set[tuple[int, int]] = set()
-        size = min(self.most, n - at)
-        while at < n:
-            while size:
-                token = ranks.get(piece[at : at + size])
-                if token is not None and fits(before, token) and (not failed or (at + size, token) not in failed):
-                    break
-                size -= 1
-            if size:
-                chain.append((at, before, size, token))
-                at, before = at + size, token
-                size = min(self.most, n - at)
-            else:
-                failed.add((at, before))
-                at, before, size, _ = chain.pop()
-                size -= 1
-        return b"".join([self.pack[x[3]] for x in chain])
+    def _learn(self, s: int, byte: int) -> tuple[int, int]:
+        """The step from state s on a byte, and s itself, which is another number if the full store has been emptied."""
+        if len(self.steps) >= MOST_STEPS:
+            state, last, before = self.states[s], self.last, self.before
+            top = self._top(state[-1])
+            chains = [self._since(c, top) for c in state[1::2]]
+            settled = last[top]
+            self._empty()
+            root = self._root(settled)
+            moved = []
+            for node, tokens in zip(state[::2], chains, strict=True):
+                chain = root
+                for t in tokens:
+                    chain = self._chain(chain, t)
+                moved += (node, chain)
+            s = self._id(tuple(moved))
+        child, token, leaf, last, pairs = self.child, self.token, self.leaf, self.last, self._pairs
+        state = self.states[s]
+        live, made = [], -1
+        for k in range(0, len(state), 2):
+            node = child.get(state[k] << 8 | byte)
+            if node is not None:
+                chain = state[k + 1]
+                if made < 0 and (t := token[node]) >= 0:
+                    a = last[chain]
+                    fit = pairs.get(a << 32 | t)
+                    if fit if fit is not None else self.fits(a, t):
+                        made = self._chain(chain, t)
+                if not leaf[node]:
+                    live += (node, chain)
+        if made < 0:
+            raise ValueError("the vocabulary lacks a single byte")
+        new, emitted = (*live, 0, made), b""
+        if self.depth[made] > LOOKAHEAD:
+            common, depth, before = made, self.depth, self.before
+            for chain in new[1:-1:2]:
+                while chain != common:
+                    if depth[chain] > depth[common]:
+                        chain = before[chain]
+                    else:
+                        common = before[common]
+            if depth[common]:
+                emitted = b"".join([self.pack[t] for t in self._since(common, self._top(common))])
+                new = self._moved(new, common, self._root(last[common]))
+        n = self._id(new)
+        if emitted:
+            self.emits[s << 8 | byte] = emitted
+            n = ~n
+        self.steps[s << 8 | byte] = n
+        return n, s
 
     def _end(self, s: int) -> bytes:
         """Tokens still held when the input ends."""
         if (known := self.ends.get(s)) is None:
-            known = self.ends[s] = b"".join([self.pack[i] for i in self.states[s][1][-1][1]])
+            chain = self.states[s][-1]
+            known = self.ends[s] = b"".join([self.pack[t] for t in self._since(chain, self._top(chain))])
         return known
 
-    def packed(self, piece: bytes) -> bytes:
-        """The ids of a piece as little-endian 32-bit integers."""
-        s, settled, out, steps = 0, 0, [], self.steps
-        for byte in piece:
-            known = steps.get(s << 8 | byte)
-            if known is None:
-                if len(steps) >= MOST_STEPS:
-                    return b"".join(out) + self._search(piece, settled, self.states[s][0])
-                known = self._learn(s, byte)
-            s, emitted, size = known
-            if size:
+    def _beyond(self, s: int, part: bytes) -> list[tuple[int, tuple]]:
+        """The live boundaries after reading on from state s without remembering: (trie node, (last token, rest))."""
+        child, token, leaf, pairs = self.child, self.token, self.leaf, self._pairs
+        state = self.states[s]
+        live = []
+        for k in range(0, len(state), 2):
+            top = self._top(state[k + 1])
+            cell = (self.last[top], None)
+            for t in self._since(state[k + 1], top):
+                cell = (t, cell)
+            live.append((state[k], cell))
+        for byte in part:
+            after, made = [], None
+            for node, cell in live:
+                node = child.get(node << 8 | byte)
+                if node is not None:
+                    if made is None and (t := token[node]) >= 0:
+                        a = cell[0]
+                        fit = pairs.get(a << 32 | t)
+                        if fit if fit is not None else self.fits(a, t):
+                            made = (t, cell)
+                    if not leaf[node]:
+                        after.append((node, cell))
+            if made is None:
+                raise ValueError("the vocabulary lacks a single byte")
+            after.append((0, made))
+            live = after
+        return live
+
+    def _packed(self, tokens: list[int]) -> bytes:
+        return b"".join([self.pack[t] for t in tokens])
+
+    def _entered(self, live: list[tuple[int, tuple]]) -> tuple[bytes, int]:
+        """What the boundaries agree on, as ids, and the state after it."""
+        chains = [_tokens(cell) for _, cell in live]
+        same = min(map(len, chains))
+        for other in chains[1:]:
+            while other[:same] != chains[0][:same]:
+                same -= 1
+        root, flat = self._root(chains[0][same - 1]), []
+        for (node, _), tokens in zip(live, chains, strict=True):
+            chain = root
+            for t in tokens[same:]:
+                chain = self._chain(chain, t)
+            flat += (node, chain)
+        return self._packed(chains[0][1:same]), self._id(tuple(flat))
+
+    def _read(self, part: bytes, s: int, final: bool) -> tuple[bytes, int]:
+        """The ids settled by a part from state s on, and the state after it; all held ids too if the part is final.
+
+        Off the remembered part, one step is learned; up to BEYOND more bytes are read without remembering, so a path
+        is remembered as far as it has been met before, and one step more.
+        """
+        out, at, n, steps = [], 0, len(part), self.steps
+        while at < n:
+            byte = part[at]
+            at += 1
+            to = steps.get(s << 8 | byte)
+            new = to is None
+            if new:
+                to, s = self._learn(s, byte)
+                steps = self.steps
+            if to < 0:
+                out.append(self.emits[s << 8 | byte])
+                to = ~to
+            s = to
+            if new and at < n and s << 8 | part[at] not in steps:
+                live = self._beyond(s, part[at : at + BEYOND])
+                at += BEYOND
+                if final and at >= n:
+                    out.append(self._packed(_tokens(live[-1][1])[1:]))
+                    return b"".join(out), -1
+                emitted, s = self._entered(live)
                 out.append(emitted)
-                settled += size
-        out.append(self._end(s))
-        return b"".join(out)
+        if final:
+            out.append(self._end(s))
+        return b"".join(out), s
+
+    def stream(self, parts: Iterable[bytes]) -> Iterator[bytes]:
+        """The ids of one piece that comes in parts, as little-endian 32-bit integers, as soon as they are settled."""
+        s = 0
+        for part in parts:
+            emitted, s = self._read(part, s, False)
+            yield emitted
+        yield self._end(s)
+
+    def packed(self, piece: bytes) -> bytes:
+        """The ids of a whole piece."""
+        return self._read(piece, 0, True)[0]
+
+
+def _tokens(cell: tuple) -> list[int]:
+    """The tokens of linked cells, oldest first."""
+    out = []
+    while cell is not None:
+        t, cell = cell
+        out.append(t)
+    return out[::-1]
 
 
 class Pieces(dict):
@@ -298,27 +441,54 @@ class Utf8Stream:
         return held.decode("utf-8", "replace")
 
 
-def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes], chunk: int = 4096) -> Iterator[str]:
-    """Text of token ids, a chunk of tokens at a time."""
-    stream, ids = Utf8Stream(), list(ids)
-    try:
-        for start in range(0, len(ids), chunk):
-            yield stream.feed(b"".join(map(bytes_of.__getitem__, ids[start : start + chunk])))
-    except KeyError as e:
-        raise ValueError(f"no token has the id {e.args[0]}") from None
-    yield stream.end()
+class Decoder:
+    """Token ids -> text. The bytes of a run of ids are taken from the vocabulary in one go."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values(), default=-1) + 1
+        by_id: list[bytes | None] = [None] * self.size
+        for t, i in ranks.items():
+            by_id[i] = t
+        self.bytes_of = pa.array(by_id, pa.binary())
+
+    def taken(self, ids: np.ndarray) -> bytes:
+        if not len(ids):
+            return b""
+        if ids.min() < 0 or ids.max() >= self.size:
+            raise ValueError(f"no token has the id {ids[(ids < 0) | (ids >= self.size)][0]}")
+        found = self.bytes_of.take(pa.array(ids))
+        if found.null_count:
+            raise ValueError(f"no token has the id {ids[found.is_null().to_numpy(zero_copy_only=False)][0]}")
+        ends = np.frombuffer(found.buffers()[1], np.int32)
+        return found.buffers()[2][int(ends[found.offset]) : int(ends[found.offset + len(found)])].to_pybytes()
+
+    def stream(self, ids: Iterable[int] | np.ndarray, chunk: int = DECODED_AT_ONCE) -> Iterator[str]:
+        """The text, a chunk of tokens at a time."""
+        held = Utf8Stream()
+        if isinstance(ids, np.ndarray):
+            parts = (ids[k : k + chunk] for k in range(0, len(ids), chunk))
+        else:
+            source = iter(ids)
+            parts = (np.array(x, np.int64) for x in iter(lambda: list(islice(source, chunk)), []))
+        for part in parts:
+            yield held.feed(self.taken(part))
+        yield held.end()
+
+    def decode(self, ids: np.ndarray) -> str:
+        return "".join(self.stream(ids))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
-_BYTES: dict[str, dict[int, bytes]] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", into: str = "token_ids") -> DataFrame:
-    """Adds the token ids of each whole text. A column named `into` is replaced."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", into: str = "token_ids", keep_text: bool = True) -> DataFrame:
+    """Adds the token ids of each whole text. A column named `into` is replaced; without `keep_text` the text goes."""
     tune(docs.sparkSession)
-    kept = [c for c in docs.columns if c != into]
-    source = docs.select(*kept, text_bytes(text_col).alias("_text_bytes"))
-    schema = source.drop("_text_bytes").schema.add(into, T.ArrayType(T.IntegerType()))
+    kept = [c for c in docs.columns if c != into and (keep_text or c != text_col)]
+    data = fresh(docs.columns, "text_bytes")
+    source = docs.select(*kept, text_bytes(text_col).alias(data))
+    schema = source.drop(data).schema.add(into, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = ranks_path, pattern
@@ -341,17 +511,24 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "token_ids", into
     """Adds the text of a column of token ids. A column named `into` is replaced."""
     tune(encoded.sparkSession)
     kept = [c for c in encoded.columns if c != into]
-    source = encoded.select(*kept, F.col(ids_col).alias("_ids"))
-    schema = source.drop("_ids").schema.add(into, "string")
+    if ids_col in kept:
+        source, at = encoded.select(*kept), kept.index(ids_col)
+    else:
+        source, at = encoded.select(*kept, F.col(ids_col).alias(fresh(kept, "ids"))), len(kept)
+    schema = encoded.select(*kept).schema.add(into, "string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_path not in _BYTES:
-            _BYTES[ranks_path] = {i: t for t, i in load_ranks(ranks_path).items()}
-        bytes_of = _BYTES[ranks_path]
+        if ranks_path not in _DECODERS:
+            _DECODERS[ranks_path] = Decoder(load_ranks(ranks_path))
+        decoder = _DECODERS[ranks_path]
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                texts = [None if x is None else "".join(decode_stream(x, bytes_of)) for x in batch.column(len(kept)).to_pylist()]
+                texts = []
+                for x in batch.column(at):
+                    if x.is_valid and x.values.null_count:
+                        raise ValueError("no token has the id null")
+                    texts.append(decoder.decode(x.values.to_numpy()) if x.is_valid else None)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, into])
 
     return source.mapInArrow(run, schema)

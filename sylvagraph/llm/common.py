@@ -63,6 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """A column name like `name` that no column has, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: str) -> Column:
     """A text column as UTF-8 bytes; null stays null."""
     return F.col(column).cast("binary")

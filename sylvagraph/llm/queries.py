@@ -19,7 +19,7 @@ OVER_LIMIT = 4096
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(BPE_RANKS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep_text=False)
     decoded = bpe.decode(encoded, ranks)
     return decoded.select(
         "doc_id",
