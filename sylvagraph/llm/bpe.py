@@ -3,11 +3,10 @@
 Encoding. For a vocabulary in which every token encodes to itself, the encoding of a byte string is the chain of last
 tokens of its prefixes: the last token of a prefix is the one token t that ends there, is compatible with the last
 token of the prefix before t (merging the two gives back just those two), and only one such t exists. So a reader
-needs, for each earlier boundary from which a vocabulary token could still grow over the bytes read, the last token
-there and the trie node reached since. Those pairs are the transducer's state; a step on a byte is computed when first
-needed and remembered (lazy determinisation). A token on which all live boundaries agree is settled, which it is after
-at most the longest token's length of further bytes; tokens are emitted once they are settled and more than LOOKAHEAD
-are held. The store of steps is bounded: when it is full, it is emptied but for the present state, and refilled.
+needs the longest end of what it has read from which a vocabulary token could still grow, and the last tokens at the
+boundaries inside that end. Those are the transducer's state. Its moves on bytes are determinised lazily: a step is
+worked out when first needed and remembered, in a store that is emptied when it is full. A token is settled as soon as
+all live boundaries agree on it; beyond HELD bytes, settled tokens are emitted and forgotten.
 
 Tokens that don't encode to themselves can't occur in any encoding and are left out of the trie.
 
@@ -36,13 +35,11 @@ from pyspark.sql import types as T
 from .common import fresh, text_bytes, tune
 
 #: Remembered steps and token pairs of the transducer, and remembered pieces, of one worker.
-MOST_STEPS = 150_000
-MOST_PAIRS = 300_000
+MOST_STEPS = 400_000
+MOST_PAIRS = 400_000
 MOST_PIECES = 400_000
-#: Tokens that a chain holds before it is searched for a settled part.
-LOOKAHEAD = 1
-#: Bytes that are read without remembering before a state is remembered again.
-BEYOND = 48
+#: Bytes that are read before settled tokens are looked for.
+HELD = 512
 #: Tokens that decoding takes at a time.
 DECODED_AT_ONCE = 1 << 16
 #: Pieces up to this many characters are remembered whole.
@@ -69,41 +66,35 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int], never: bytes | None = N
 class Transducer:
     """bytes -> token ids, left to right.
 
-    A chain is the tokens since the last settled one; chains are interned, each as a token after a shorter chain, a root
-    standing for the settled token. A state is the live boundaries, oldest first, each as the trie node of the bytes
-    since it and the chain up to it, in one flat tuple. Beyond LOOKAHEAD tokens, what all live chains begin with is
-    settled and emitted, which is possible after at most the longest token's length of further bytes.
+    The state is a node of the tokens' trie, for the longest end of the input that can still grow into a token, and the
+    last tokens at the boundaries inside that end. A step on a byte goes down the trie, or first to the node of a shorter
+    end; which one is worked out when the step is first needed, and remembered. At the new node the tokens that end here
+    are known, longest first; the one that fits the last token before it is the last token here.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.size = {i: len(t) for t, i in ranks.items()}
+        self.pack = {i: i.to_bytes(4, "little") for i in ranks.values()}
         self.child: dict[int, int] = {}  # node << 8 | byte
-        self.token = [-1]
-        inner = set()
+        self.token, self.depth, self.parent, self.byte = [-1], [0], [0], [0]
         for t, i in ranks.items():
             node = 0
-            for b in t:
-                inner.add(node)
-                node = self.child.setdefault(node << 8 | b, len(self.token))
+            for depth, b in enumerate(t, 1):
+                up, node = node, self.child.setdefault(node << 8 | b, len(self.token))
                 if node == len(self.token):
                     self.token.append(-1)
+                    self.depth.append(depth)
+                    self.parent.append(up)
+                    self.byte.append(b)
             self.token[node] = i
-        self.leaf = [n not in inner for n in range(len(self.token))]
-        self.pack = {i: i.to_bytes(4, "little") for i in ranks.values()}
+        self.shorter: list[int | None] = [None] * len(self.token)  # the node of the longest proper end that is one
+        self.ending: list[tuple | None] = [None] * len(self.token)  # (token, size) of all tokens that end here
+        self.ending[0] = ()
+        self.steps: dict[int, int] = {}
         self._spines: dict[int, tuple] = {}
         self._pairs: dict[int, bool] = {}
-        self._empty()
-
-    def _empty(self) -> None:
-        """A store that holds the start alone."""
-        self.last, self.before, self.depth = [-1], [-1], [0]  # of chains
-        self._roots, self._chains = {-1: 0}, {}
-        self.states: list[tuple] = [(0, 0)]
-        self.ids = {(0, 0): 0}
-        self.steps: dict[int, int] = {}  # next state, or its complement if the step emits
-        self.emits: dict[int, bytes] = {}
-        self.ends: dict[int, bytes] = {}
 
     def _spine(self, i: int) -> tuple[bool, list, list]:
         """Whether token i encodes to itself; the parts at its right and at its left edge while it is merged, from the
@@ -149,211 +140,101 @@ class Transducer:
                     j += 1
         if len(self._pairs) >= MOST_PAIRS:
             self._pairs.clear()
-        self._pairs[a << 32 | b] = known
+        self._pairs[a << 24 | b] = known
         return known
 
-    def _root(self, token: int) -> int:
-        if (c := self._roots.get(token)) is None:
-            c = self._roots[token] = len(self.last)
-            self.last.append(token)
-            self.before.append(-1)
-            self.depth.append(0)
-        return c
-
-    def _chain(self, before: int, token: int) -> int:
-        key = before << 32 | token
-        if (c := self._chains.get(key)) is None:
-            c = self._chains[key] = len(self.last)
-            self.last.append(token)
-            self.before.append(before)
-            self.depth.append(self.depth[before] + 1)
-        return c
-
-    def _since(self, chain: int, start: int) -> list[int]:
-        """The tokens of a chain after its part `start`."""
-        tokens = []
-        while chain != start:
-            tokens.append(self.last[chain])
-            chain = self.before[chain]
-        return tokens[::-1]
-
-    def _top(self, chain: int) -> int:
-        while self.before[chain] >= 0:
-            chain = self.before[chain]
-        return chain
-
-    def _moved(self, state: tuple, start: int, root: int) -> tuple:
-        """The state with its chains' common part `start` replaced by a root."""
-        out = []
-        for k in range(0, len(state), 2):
-            chain = root
-            for t in self._since(state[k + 1], start):
-                chain = self._chain(chain, t)
-            out += (state[k], chain)
-        return tuple(out)
-
-    def _id(self, state: tuple) -> int:
-        s = self.ids.setdefault(state, len(self.states))
-        if s == len(self.states):
-            self.states.append(state)
-        return s
-
-    def _learn(self, s: int, byte: int) -> tuple[int, int]:
-        """The step from state s on a byte, and s itself, which is another number if the full store has been emptied."""
-        if len(self.steps) >= MOST_STEPS:
-            state, last, before = self.states[s], self.last, self.before
-            top = self._top(state[-1])
-            chains = [self._since(c, top) for c in state[1::2]]
-            settled = last[top]
-            self._empty()
-            root = self._root(settled)
-            moved = []
-            for node, tokens in zip(state[::2], chains, strict=True):
-                chain = root
-                for t in tokens:
-                    chain = self._chain(chain, t)
-                moved += (node, chain)
-            s = self._id(tuple(moved))
-        child, token, leaf, last, pairs = self.child, self.token, self.leaf, self.last, self._pairs
-        state = self.states[s]
-        live, made = [], -1
-        for k in range(0, len(state), 2):
-            node = child.get(state[k] << 8 | byte)
-            if node is not None:
-                chain = state[k + 1]
-                if made < 0 and (t := token[node]) >= 0:
-                    a = last[chain]
-                    fit = pairs.get(a << 32 | t)
-                    if fit if fit is not None else self.fits(a, t):
-                        made = self._chain(chain, t)
-                if not leaf[node]:
-                    live += (node, chain)
-        if made < 0:
-            raise ValueError("the vocabulary lacks a single byte")
-        new, emitted = (*live, 0, made), b""
-        if self.depth[made] > LOOKAHEAD:
-            common, depth, before = made, self.depth, self.before
-            for chain in new[1:-1:2]:
-                while chain != common:
-                    if depth[chain] > depth[common]:
-                        chain = before[chain]
-                    else:
-                        common = before[common]
-            if depth[common]:
-                emitted = b"".join([self.pack[t] for t in self._since(common, self._top(common))])
-                new = self._moved(new, common, self._root(last[common]))
-        n = self._id(new)
-        if emitted:
-            self.emits[s << 8 | byte] = emitted
-            n = ~n
-        self.steps[s << 8 | byte] = n
-        return n, s
-
-    def _end(self, s: int) -> bytes:
-        """Tokens still held when the input ends."""
-        if (known := self.ends.get(s)) is None:
-            chain = self.states[s][-1]
-            known = self.ends[s] = b"".join([self.pack[t] for t in self._since(chain, self._top(chain))])
-        return known
+    def _down(self, node: int, byte: int) -> int:
+        """The node of the longest end of (the node's bytes, byte) that is in the trie."""
+        while (to := self.child.get(node << 8 | byte)) is None and node:
+            node = self._shorter(node)
+        return to or 0
+
+    def _shorter(self, node: int) -> int:
+        path = []
+        while self.shorter[node] is None:
+            if self.depth[node] < 2:
+                self.shorter[node] = 0
+            elif self.shorter[up := self.parent[node]] is None:
+                path.append(node)
+                node = up
+                continue
+            else:
+                self.shorter[node] = self._down(self.shorter[up], self.byte[node])
+            if path:
+                node = path.pop()
+        return self.shorter[node]
 
-    def _beyond(self, s: int, part: bytes) -> list[tuple[int, tuple]]:
-        """The live boundaries after reading on from state s without remembering: (trie node, (last token, rest))."""
-        child, token, leaf, pairs = self.child, self.token, self.leaf, self._pairs
-        state = self.states[s]
-        live = []
-        for k in range(0, len(state), 2):
-            top = self._top(state[k + 1])
-            cell = (self.last[top], None)
-            for t in self._since(state[k + 1], top):
-                cell = (t, cell)
-            live.append((state[k], cell))
-        for byte in part:
-            after, made = [], None
-            for node, cell in live:
-                node = child.get(node << 8 | byte)
-                if node is not None:
-                    if made is None and (t := token[node]) >= 0:
-                        a = cell[0]
-                        fit = pairs.get(a << 32 | t)
-                        if fit if fit is not None else self.fits(a, t):
-                            made = (t, cell)
-                    if not leaf[node]:
-                        after.append((node, cell))
-            if made is None:
+    def _learn(self, node: int, byte: int) -> int:
+        if len(self.steps) >= MOST_STEPS:
+            self.steps.clear()
+        to = self.steps[node << 8 | byte] = self._down(node, byte)
+        n, path = to, []
+        while self.ending[n] is None:
+            path.append(n)
+            n = self._shorter(n)
+        for n in reversed(path):
+            t, rest = self.token[n], self.ending[self.shorter[n]]
+            self.ending[n] = ((t, self.size[t]), *rest) if t >= 0 and self.whole(t) else rest
+        return to
+
+    def _advance(self, part: bytes, node: int, last: list[int]) -> int:
+        """Reads a part from a node on; `last` holds the last token at each boundary and gets the new ones."""
+        steps, pairs, ending = self.steps, self._pairs, self.ending
+        n = len(last)
+        for i, byte in enumerate(part, n):
+            to = steps.get(node << 8 | byte)
+            node = to if to is not None else self._learn(node, byte)
+            for token, size in ending[node]:
+                key = last[i - size] << 24 | token
+                fit = pairs.get(key)
+                if fit if fit is not None else self.fits(key >> 24, token):
+                    last.append(token)
+                    break
+            else:
                 raise ValueError("the vocabulary lacks a single byte")
-            after.append((0, made))
-            live = after
-        return live
-
-    def _packed(self, tokens: list[int]) -> bytes:
-        return b"".join([self.pack[t] for t in tokens])
-
-    def _entered(self, live: list[tuple[int, tuple]]) -> tuple[bytes, int]:
-        """What the boundaries agree on, as ids, and the state after it."""
-        chains = [_tokens(cell) for _, cell in live]
-        same = min(map(len, chains))
-        for other in chains[1:]:
-            while other[:same] != chains[0][:same]:
-                same -= 1
-        root, flat = self._root(chains[0][same - 1]), []
-        for (node, _), tokens in zip(live, chains, strict=True):
-            chain = root
-            for t in tokens[same:]:
-                chain = self._chain(chain, t)
-            flat += (node, chain)
-        return self._packed(chains[0][1:same]), self._id(tuple(flat))
-
-    def _read(self, part: bytes, s: int, final: bool) -> tuple[bytes, int]:
-        """The ids settled by a part from state s on, and the state after it; all held ids too if the part is final.
-
-        Off the remembered part, one step is learned; up to BEYOND more bytes are read without remembering, so a path
-        is remembered as far as it has been met before, and one step more.
-        """
-        out, at, n, steps = [], 0, len(part), self.steps
-        while at < n:
-            byte = part[at]
-            at += 1
-            to = steps.get(s << 8 | byte)
-            new = to is None
-            if new:
-                to, s = self._learn(s, byte)
-                steps = self.steps
-            if to < 0:
-                out.append(self.emits[s << 8 | byte])
-                to = ~to
-            s = to
-            if new and at < n and s << 8 | part[at] not in steps:
-                live = self._beyond(s, part[at : at + BEYOND])
-                at += BEYOND
-                if final and at >= n:
-                    out.append(self._packed(_tokens(live[-1][1])[1:]))
-                    return b"".join(out), -1
-                emitted, s = self._entered(live)
-                out.append(emitted)
-        if final:
-            out.append(self._end(s))
-        return b"".join(out), s
+        return node
+
+    def _chain(self, last: list[int], at: int) -> list[int]:
+        """The boundaries between the tokens of the first `at` bytes, latest first."""
+        found = [at]
+        while at:
+            at -= self.size[last[at]]
+            found.append(at)
+        return found
+
+    def _packed(self, last: list[int], at: int) -> bytes:
+        out = []
+        while at:
+            token = last[at]
+            out.append(self.pack[token])
+            at -= self.size[token]
+        return b"".join(out[::-1])
+
+    def _settled(self, last: list[int], node: int) -> int:
+        """The latest boundary that every encoding still possible has."""
+        common = set(self._chain(last, len(last) - 1))
+        for at in range(len(last) - 1 - self.depth[node], len(last) - 1):
+            common &= set(self._chain(last, at))
+        return max(common)
 
     def stream(self, parts: Iterable[bytes]) -> Iterator[bytes]:
         """The ids of one piece that comes in parts, as little-endian 32-bit integers, as soon as they are settled."""
-        s = 0
+        node, last = 0, [-1]
         for part in parts:
-            emitted, s = self._read(part, s, False)
-            yield emitted
-        yield self._end(s)
+            for k in range(0, len(part), HELD):
+                node = self._advance(part[k : k + HELD], node, last)
+                if len(last) > HELD and (at := self._settled(last, node)):
+                    yield self._packed(last, at)
+                    del last[:at]
+        yield self._packed(last, len(last) - 1)
 
     def packed(self, piece: bytes) -> bytes:
         """The ids of a whole piece."""
-        return self._read(piece, 0, True)[0]
-
-
-def _tokens(cell: tuple) -> list[int]:
-    """The tokens of linked cells, oldest first."""
-    out = []
-    while cell is not None:
-        t, cell = cell
-        out.append(t)
-    return out[::-1]
+        if len(piece) > HELD:
+            return b"".join(self.stream((piece,)))
+        last = [-1]
+        self._advance(piece, 0, last)
+        return self._packed(last, len(piece))
 
 
 class Pieces(dict):
