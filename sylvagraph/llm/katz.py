@@ -1,28 +1,33 @@
-"""Language-model scores by Katz backoff on bigrams.
-
-Tokens are the lower-cased words of a text and one end. For counts r up to GT_MOST, Good-Turing discounts
-d(r) = ((r+1) n(r+1) / (r n(r)) - A) / (1 - A) with A = (GT_MOST+1) n(GT_MOST+1) / n(1) hold; larger counts stay.
-  p(w)     = d(c(w)) c(w) / N; what the discounts free is the probability of the unknown token
-  p(w | h) = d(c(h,w)) c(h,w) / c(h) if c(h,w) >= min_pair, else bow(h) p(w)
-  bow(h)   = (1 - sum of p(w | h)) / (1 - sum of p(w)), both over the kept pairs of h: each p(. | h) sums to 1
+"""Language-model scores by Katz backoff over n-grams of any order.
+
+Tokens are the lower-cased words of a text and one end; a text's first token has a begin before it. For counts r up to
+GT_MOST, Good-Turing discounts d_k(r) = ((r+1) n(r+1) / (r n(r)) - A) / (1 - A) with A = (GT_MOST+1) n(GT_MOST+1) / n(1)
+hold, from the counts n of k-grams by count; larger counts stay. With g = (h, w) and h' = h without its first word:
+  p(w)     = d_1(c(w)) c(w) / N; what the discounts free is the probability of the unknown token
+  p(w | h) = d_k(c(g)) c(g) / c(h) if g was seen in training, else bow(h) p(w | h'); bow = 1 for an unseen h
+  bow(h)   = (1 - sum of p(w | h)) / (1 - sum of p(w | h')), both over the words seen after h: each p(. | h) sums to 1
 A context of which no discount frees anything has its p(w | h) scaled by c(h) / (c(h) + 1), to leave some for others.
-op8_katz keeps every pair that training holds (min_pair = 1). By default, pairs seen once are left to the backoff.
+Every n-gram of the training texts counts, those seen once too.
+
+How it runs. Texts become chunks of about CHUNK tokens, written once. Order by order, every chunk sends its distinct
+n-grams, packed, to buckets by context; a bucket adds up counts and answers each chunk with the counts of its n-grams and
+with what the backoff weights of its contexts need: how many words follow by count, and by the count of the shorter
+n-gram. A context of more than HOT tokens is dealt out by its words too, to as many buckets as its count asks for, and
+what those find is added up by a join; its count is known from the order before, so nothing is listed or broadcast. A
+chunk sends a row to a bucket only if it has n-grams for it, so rows never outnumber n-grams. With all answers, a chunk
+is scored by recursion over orders. The result is written, and everything else removed.
 
-How it runs. Texts become chunks of about CHUNK tokens: distinct word hashes, and tokens as places among them, written
-once as a table bucketed by chunk. Single words are counted and looked up as rows. Pairs are counted by tables
-partitioned by word: each chunk sends its distinct pairs, packed, once; a word that makes up a 4096th of all tokens or
-more is split further by its contexts, so no bucket is hot. The bucket answers each chunk with its pairs' counts and
-passes on the kept pairs by context, each with its word's count: the sum over the word's pairs, which all are in the
-bucket, or the broadcast count of a word that is split. From these the backoff weights are summed by context. At last each chunk meets its answers
-and is scored, token by token; chunks don't move for that, as their table is bucketed.
+Words are known by 64-bit hashes, inside a context by 48 bits; n-grams are told apart by 64-bit hashes of these.
 
 Defined cases: null and empty texts consist of the end alone; a row without an id is in training, as it has no
-remainder; without training data every token is unknown, with probability 1; repeated rows count and are scored each.
+remainder; without training data every token is unknown, with probability 1; repeated rows count and are scored each;
+columns beside id and text aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -36,17 +41,19 @@ from pyspark.sql import functions as F
 from .common import Shared, WordHash, mix, rows_of, signed, text_bytes, tune
 
 HELD_OUT_OF, HELD_OUT = 7, 2
+ORDER = 3
 GT_MOST = 5
-#: Least count of a kept pair, if the caller states none.
-MIN_PAIR = 2
 CHUNK = 1_000_000
-#: Distinct pairs that a bucket takes, at most about.
-BUCKET_PAIRS = 1_500_000
-HOT_PART = 4096
-#: Words are known by 56 bits of their hashes, so that a context takes seven bytes.
-_BITS = np.uint64((1 << 56) - 1)
-_END = np.uint64(0x9E3779B97F4A7C)
-_BEGIN = np.uint64(0xC2B2AE3D27D4EB)
+#: n-grams that a bucket gets, at most about, copies from several chunks included.
+BUCKET = 1_000_000
+#: Tokens from which a context's words are dealt out to several buckets.
+HOT = 200_000
+#: Parts in which the n-grams of an order from 3 on are counted, one after the other, so that less is on disk at once.
+SLICES = 2
+_END = np.uint64(0x9E3779B97F4A7C15)
+_BEGIN = np.uint64(0xC2B2AE3D27D4EB4F)
+_STEP = np.uint64(0x9E3779B185EBCA87)
+_TOP = np.uint64(32)
 _WORDS = WordHash()
 
 
@@ -66,280 +73,348 @@ def discounts(n: list[int]) -> list[float]:
     return d if all(0 < x < 1 for x in d[1:]) else half
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, so that small numbers compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+def _pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes as the largest needs, bytes of equal weight side by side, compressed."""
+    high = int(x.max()) if len(x) else 0
+    size = 1 if high < 1 << 8 else 2 if high < 1 << 16 else 4 if high < 1 << 32 else 8
+    raw = np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
+    return struct.pack("<BQ", size, len(x)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    size, n = struct.unpack_from("<BQ", data)
+    raw = pa.decompress(data[9:], size * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(f"<u{size}").ravel().astype(np.uint64)
+
 
+def _pack_words(x: np.ndarray) -> bytes:
+    """The upper 48 bits, six bytes each; hashes don't compress."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
 
-def _unplanes(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+def _unpack_words(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
-_CHUNK_ROW = "part bigint, doc_ids {id}, lengths array<int>, words binary, tokens binary"
+def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal keys, none of which is negative."""
+    edges = np.flatnonzero(np.diff(keys, prepend=-1))
+    return list(zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True)) if len(edges) else []
 
 
 def _chunked(docs: DataFrame) -> DataFrame:
+    """part, doc_ids, lengths, words (sorted hashes, with the begin and the end), tokens (places among the words)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq, total = TaskContext.get().partitionId(), 0, 0
         ids: list = []
-        lengths: list[int] = []
         held: list[np.ndarray] = []
         kind = None
 
         def row() -> pa.RecordBatch:
-            words, tokens = np.unique(np.concatenate(held), return_inverse=True)
-            cells = [[task << 32 | seq], [ids], [lengths], [_planes(np.diff(words, prepend=np.uint64(0)))], [_planes(tokens.astype(np.uint32))]]
+            words, tokens = np.unique(np.concatenate([*held, np.array([_BEGIN, _END])]), return_inverse=True)
+            cells = [[task << 32 | seq], [ids], [[len(x) for x in held]], [_pack(np.diff(words, prepend=np.uint64(0)))], [_pack(tokens[:-2])]]
             types = [pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=["part", "doc_ids", "lengths", "words", "tokens"])
 
         for batch in batches:
             kind = batch.schema.field(0).type
             for doc, data in rows_of([batch]):
-                hashes = np.append(_WORDS.of((data or b"").lower().split()) & _BITS, _END)
+                held.append(np.append(_WORDS.of((data or b"").lower().split()), _END))
                 ids.append(doc)
-                lengths.append(len(hashes))
-                held.append(hashes)
-                total += len(hashes)
+                total += len(held[-1])
                 if total >= CHUNK:
                     yield row()
                     seq, total = seq + 1, 0
-                    ids, lengths, held = [], [], []
+                    ids, held = [], []
         if ids:
             yield row()
 
-    return docs.mapInArrow(run, _CHUNK_ROW.format(id=f"array<{id_type}>"))
+    return docs.mapInArrow(run, f"part bigint, doc_ids array<{id_type}>, lengths array<int>, words binary, tokens binary")
 
 
-class Chunk:
-    def __init__(self, doc_ids: list, lengths, words: bytes, tokens: bytes):
-        self.ids = doc_ids
-        self.lengths = np.asarray(lengths)
-        self.words = np.cumsum(_unplanes(words, np.uint64), dtype=np.uint64)
-        self.tokens = _unplanes(tokens, np.uint32).astype(np.int64)
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        self.held_out = np.array([held_out(i) for i in doc_ids], bool)
-
-    def train(self) -> np.ndarray:
-        return np.repeat(~self.held_out, self.lengths)
-
-    def pairs(self, hot: np.ndarray, buckets: int) -> tuple:
-        """Distinct pairs, by bucket, word and context: bucket, word hash, context hash, place of both, and for each token its pair."""
-        n = len(self.words)
-        before = np.concatenate(([n], self.tokens[:-1]))
-        before[self.starts] = n  # the begin
-        keys, inverse = np.unique(self.tokens * (n + 1) + before, return_inverse=True)
-        at, context = keys // (n + 1), keys % (n + 1)
-        word = self.words[at]
-        from_ = np.append(self.words, _BEGIN)[context]
-        place = mix(word)
-        is_hot = np.isin(word, hot)
-        place[is_hot] = mix(word[is_hot] ^ mix(from_[is_hot]))
-        bucket = (place % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((from_, word, bucket))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return bucket[order], word[order], from_[order], at[order], context[order], back[inverse]
-
-
-def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """part, chunk, and a reader of the row's other arrays."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            part, ids, lengths, words, tokens = (batch.column(c)[k].as_py() for c in ("part", "doc_ids", "lengths", "words", "tokens"))
-            yield part, Chunk(ids, lengths, words, tokens), lambda c, batch=batch, k=k: batch.column(c)[k]
+class Model:
+    """The few numbers that all tasks share, by order."""
 
+    def __init__(self) -> None:
+        self.d: list[list[float]] = [[]]
+        self.n = self.v = 0
 
-def _context_bytes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+    def learn(self, stats: list[int]) -> None:
+        """stats: n(1..GT_MOST+1) of the next order, distinct n-grams, all n-grams."""
+        self.d.append(discounts([0, *stats[: GT_MOST + 1]]))
+        if len(self.d) == 2:
+            self.v, self.n = stats[GT_MOST + 1], stats[GT_MOST + 2]
+            freed = sum((1 - self.d[1][r]) * r * stats[r - 1] for r in range(1, GT_MOST + 1))
+            # without any small counts, one token's worth is kept back for the unknown one
+            self.scale = (1.0 if freed > 0 else self.n / (self.n + 1)) / max(self.n, 1)
+            self.unknown = 1.0 if not self.n else freed / self.n if freed > 0 else 1 / (self.n + 1)
 
+    def cut(self, k: int, c: np.ndarray) -> np.ndarray:
+        """Discounted counts of k-grams."""
+        return np.where(c <= GT_MOST, np.array(self.d[k])[np.minimum(c, GT_MOST)], 1.0) * c
 
-def _contexts(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
-    return out.view(np.uint64).ravel()
 
+class Level:
+    """The distinct k-grams of a chunk, by context hash and word hash."""
 
-def _word_rows(chunks: DataFrame) -> DataFrame:
-    """part, at, h, c: the distinct words of a chunk with their training counts."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, chunk, _ in _chunks(batches):
-            c = np.bincount(chunk.tokens, chunk.train(), len(chunk.words)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), part)), pa.array(np.arange(len(c), dtype=np.int32)), pa.array(signed(chunk.words)), pa.array(c)], names=["part", "at", "h", "c"])
+    context: np.ndarray  # of each n-gram: the place of its context among `contexts`
+    contexts: np.ndarray  # sorted hashes
+    word: np.ndarray  # of each n-gram: its last word's place
+    shorter: np.ndarray  # of each n-gram: the place of the n-gram without its first word, in the level before
+    of_token: np.ndarray  # of each token: its n-gram, -1 if the text has too few words before it
+    count: np.ndarray  # of each n-gram, in training; and of its context
+    of_context: np.ndarray
+    seen: np.ndarray  # of each context: words after it by count 1..GT_MOST, by shorter count 1..GT_MOST, rest's sum
 
-    return chunks.mapInArrow(run, "part bigint, at int, h bigint, c bigint")
 
+class Chunk:
+    def __init__(self, row: dict):
+        self.part, self.ids, self.lengths = row["part"], row["doc_ids"], np.asarray(row["lengths"])
+        self.words = np.cumsum(_unpack(row["words"]), dtype=np.uint64)
+        self.tokens = _unpack(row["tokens"]).astype(np.int64)
+        self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
+        self.train = np.repeat(np.array([not held_out(i) for i in self.ids], bool), self.lengths)
+        self.levels: list[Level | None] = [None]
+        self._place, self._hash = self.tokens, self.words  # of the last level, in the order of its hashes
+
+    def extend(self) -> Level:
+        """Adds the next level."""
+        k, n = len(self.levels), len(self.words)
+        level = Level()
+        if k == 1:
+            level.context, level.contexts, level.word = np.zeros(n, np.int64), np.zeros(1, np.uint64), np.arange(n)
+            level.shorter, level.of_token, level.of_context = np.zeros(n, np.int64), self.tokens, np.full(1, 1 << 62)
+            self.levels.append(level)
+            return level
+        lower = self.levels[-1]
+        before = np.empty(len(self.tokens), np.int64)
+        before[1:] = self._place[:-1]
+        if k == 2:
+            before[self.starts] = np.searchsorted(self.words, _BEGIN)
+            at = np.arange(len(self.tokens))
+            known = lower.count.copy()
+            known[np.searchsorted(self.words, _BEGIN)] = known[np.searchsorted(self.words, _END)]  # one of each a text
+        else:
+            valid = np.ones(len(self.tokens), bool)
+            for j in range(k - 2):
+                valid[self.starts[self.lengths > j] + j] = False
+            at = np.flatnonzero(valid)
+            known = lower.count[self._by_hash]
+        keys, inverse = np.unique(before[at] * n + self.tokens[at], return_inverse=True)
+        contexts, level.word = keys // n, keys % n
+        used, level.context = np.unique(contexts, return_inverse=True)
+        level.contexts, level.of_context = self._hash[used], known[used]
+        level.of_token = np.full(len(self.tokens), -1)
+        level.of_token[at] = inverse
+        level.shorter = np.empty(len(keys), np.int64)
+        level.shorter[inverse] = lower.of_token[at]
+        # ids of the next level's contexts, in the order of their hashes
+        hashes = mix(level.contexts[level.context] * _STEP + self.words[level.word])
+        self._by_hash = np.argsort(hashes)
+        rank = np.empty(len(keys), np.int64)
+        rank[self._by_hash] = np.arange(len(keys))
+        self._place, self._hash = np.full(len(self.tokens), -1), hashes[self._by_hash]
+        self._place[at] = rank[inverse]
+        self.levels.append(level)
+        return level
+
+    def dealt(self, k: int, buckets: int) -> tuple:
+        """(n-grams of plain contexts, their buckets), (n-grams of hot contexts, theirs); both in the order of buckets."""
+        level = self.levels[k]
+        base = ((level.contexts >> _TOP) * np.uint64(buckets) >> _TOP).astype(np.int64)
+        splits = np.minimum(-(-level.of_context // HOT), buckets)
+        hot = (splits > 1)[level.context]
+        plain, hot = np.flatnonzero(~hot), np.flatnonzero(hot)
+        at = level.context[hot]
+        bucket = (base[at] + ((mix(self.words[level.word[hot]]) >> _TOP) * splits[at].astype(np.uint64) >> _TOP).astype(np.int64)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        return (plain, base[level.context[plain]]), (hot[order], bucket[order])
+
+    def told(self, k: int, buckets: int, answers: list[dict], hot: list[dict] | None) -> None:
+        """Takes in the answers to a level."""
+        level = self.levels[k]
+        level.count = np.zeros(len(level.word), np.int64)
+        level.seen = np.zeros((2 * GT_MOST + 1, len(level.contexts)), np.int64)
+        answers = sorted(answers or [], key=lambda x: (x["hot"], x["bucket"]))
+        for is_hot, (grams, _) in zip((False, True), self.dealt(k, buckets), strict=True):
+            own = [x for x in answers if x["hot"] == is_hot]
+            if own:
+                level.count[grams] = np.concatenate([_unpack(x["a"]) for x in own])
+                if not is_hot and k > 1:
+                    level.seen[:, np.unique(level.context[grams])] = np.concatenate([_unpack(x["b"]).reshape(2 * GT_MOST + 1, -1) for x in own], axis=1)
+        if hot:
+            at = np.searchsorted(level.contexts, np.array([x["key"] for x in hot], np.int64).view(np.uint64))
+            level.seen[:, at] = np.array([x["n"] for x in hot], np.int64).T
+
+    def log_p(self, model: Model) -> np.ndarray:
+        """log10 of each token's probability, by recursion over the orders."""
+        base = self.levels[1]
+        p = model.cut(1, base.count) * model.scale
+        logs = np.log10(np.where(base.count > 0, p, model.unknown))
+        of_token = logs[base.of_token]
+        scale = np.full(1, model.scale)
+        r = np.arange(1, GT_MOST + 1)
+        for k, level in enumerate(self.levels[2:], 2):
+            c = np.maximum(level.of_context, 1)
+            by_count, by_shorter, rest = level.seen[:GT_MOST], level.seen[GT_MOST : 2 * GT_MOST], level.seen[2 * GT_MOST]
+            freed = ((1 - np.array(model.d[k][1:])) * r) @ by_count
+            share = np.where(freed > 1e-9 * c, 1.0, c / (c + 1))
+            some = np.empty(len(level.contexts), np.int64)
+            some[level.context] = np.arange(len(level.word))  # an n-gram of each context
+            lower = self.levels[k - 1]
+            shorter = scale[lower.context[level.shorter[some]]]
+            mass = shorter * (rest + (np.array(model.d[k - 1][1:]) * r) @ by_shorter)
+            bow = np.where(level.of_context > 0, (1 - share * (c - freed) / c) / (1 - mass), 1.0)
+            scale = share / c
+            back = np.log10(bow)[level.context] + logs[level.shorter]
+            with np.errstate(divide="ignore"):
+                logs = np.where(level.count > 0, np.log10(scale[level.context] * model.cut(k, level.count)), back)
+            has = level.of_token >= 0
+            of_token[has] = logs[level.of_token[has]]
+        return of_token
 
-def _pair_rows(chunks: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast(hot)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, chunk, _ in _chunks(batches):
-            bucket, word, context, _, _, pair = chunk.pairs(shared.value, buckets)
-            c = np.bincount(pair, chunk.train(), len(word)).astype(np.uint32)
-            edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-            spans = list(zip(edges, np.append(edges[1:], len(bucket)), strict=True))
-            cells = [[part] * len(spans), [int(bucket[a]) for a, _ in spans], [_planes(np.diff(word[a:b], prepend=np.uint64(0))) for a, b in spans], [_context_bytes(context[a:b]) for a, b in spans], [_planes(c[a:b]) for a, b in spans]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["part", "bucket", "words", "contexts", "counts"])
+def _chunks(batches: Iterable[pa.RecordBatch], upto: int, buckets: int) -> Iterator[Chunk]:
+    """Chunks with the answers to the first `upto` levels taken in."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
+            chunk = Chunk(row)
+            for level in range(1, upto + 1):
+                chunk.extend()
+                chunk.told(level, buckets, row[f"answers{level}"], row[f"hot{level}"])
+            yield chunk
 
-    return chunks.mapInArrow(run, "part bigint, bucket bigint, words binary, contexts binary, counts binary")
 
+_SENT = "part bigint, bucket bigint, hot boolean, contexts binary, sizes binary, words binary, counts binary, shorter binary"
 
-_ANSWER = "kind int, key bigint, bucket bigint, a binary, b binary, c binary"
-ANSWERS, KEPT, COUNTS = 0, 1, 2
 
+def _sent(met: DataFrame, k: int, buckets: int, part_of: tuple[int, int]) -> DataFrame:
+    """The distinct k-grams of all chunks that go to one slice of the buckets, packed by bucket."""
+    slice_, slices = part_of
+    schema = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("hot", pa.bool_()), *[(c, pa.binary()) for c in ("contexts", "sizes", "words", "counts", "shorter")]])
 
-def _answered(rows: DataFrame, hot: np.ndarray, hot_counts: np.ndarray, min_pair: int) -> DataFrame:
-    """By bucket: the counts of each chunk's pairs; the kept pairs' contexts, counts and words' counts; counts of counts."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, k - 1, buckets):
+            level = chunk.extend()
+            counts = np.bincount(level.of_token[chunk.train & (level.of_token >= 0)], minlength=len(level.word))
+            lower = chunk.levels[k - 1].count if k > 1 else np.zeros(len(level.word), np.int64)
+            rows = []
+            for hot, (grams, bucket) in zip((False, True), chunk.dealt(k, buckets), strict=True):
+                for a, b in _spans(bucket):
+                    if bucket[a] % slices == slice_:
+                        own = grams[a:b]
+                        first = np.flatnonzero(np.diff(level.context[own], prepend=-1))
+                        contexts = level.contexts[level.context[own[first]]]
+                        rows.append((chunk.part, int(bucket[a]), hot, _pack(np.diff(contexts, prepend=np.uint64(0))), _pack(np.diff(np.append(first, len(own)))), _pack_words(chunk.words[level.word[own]]) if k > 1 else chunk.words[own].tobytes(), _pack(counts[own]), _pack(lower[level.shorter[own]])))
+            del chunk, level
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return met.mapInArrow(run, _SENT)
+
+
+ANSWERS, HOTS, COUNTS = 0, 1, 2
+_ANSWER = "kind int, key bigint, bucket bigint, hot boolean, a binary, b binary, n array<bigint>, parts array<bigint>"
+
+
+def _answered(rows: DataFrame, k: int) -> DataFrame:
+    """By bucket. ANSWERS: to each chunk (key) the counts of its k-grams, and Level.seen of its plain contexts; HOTS: the
+    bucket's share in Level.seen of each hot context (key), and the chunks that ask; COUNTS: for Model.learn."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("bucket", pa.int64()), ("hot", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        words = [np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in table.column("words").to_pylist()]
-        sizes = [len(w) for w in words]
-        word = np.concatenate(words)
-        context = _contexts(b"".join(table.column("contexts").to_pylist()))
-        count = np.concatenate([_unplanes(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
-        order = np.lexsort((context, word))
-        w, f = word[order], context[order]
-        first = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (f[1:] != f[:-1]))))
-        total = np.add.reduceat(count[order], first)
-        of_each = np.empty(len(word), np.int64)
-        of_each[order] = np.repeat(total, np.diff(np.append(first, len(w))))
-        of_each[of_each < min_pair] = 0
-        rows = [(ANSWERS, part, bucket, _planes(x.astype(np.uint32)), None, None) for part, x in zip(table.column("part").to_pylist(), np.split(of_each, np.cumsum(sizes)[:-1]), strict=True)]
-        w, f = w[first], f[first]
-        edges = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-        of_word = np.repeat(np.add.reduceat(total, edges), np.diff(np.append(edges, len(w))))
-        split = np.isin(w, hot)
-        of_word[split] = hot_counts[np.searchsorted(hot, w[split])]
-        kept = np.flatnonzero(total >= min_pair)
-        kept = kept[np.argsort(f[kept], kind="stable")]
-        rows.append((KEPT, bucket, bucket, _planes(np.diff(f[kept], prepend=np.uint64(0))), _planes(total[kept].astype(np.uint32)), _planes(of_word[kept])))
-        rows.append((COUNTS, bucket, bucket, np.bincount(np.minimum(total, GT_MOST + 2), minlength=GT_MOST + 3).astype(np.int64).tobytes(), None, None))
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kind", "key", "bucket", "a", "b", "c"])
+        parts, hot = table.column("part").to_numpy(), table.column("hot").to_pylist()
+        contexts = [np.cumsum(_unpack(x.as_py()), dtype=np.uint64) for x in table.column("contexts")]
+        sizes = np.concatenate([_unpack(x.as_py()) for x in table.column("sizes")]).astype(np.int64)
+        words = b"".join(x.as_py() for x in table.column("words"))
+        words = _unpack_words(words) if k > 1 else np.frombuffer(words, np.uint64)
+        count = [_unpack(x.as_py()).astype(np.int64) for x in table.column("counts")]
+        shorter = np.concatenate([_unpack(x.as_py()) for x in table.column("shorter")]).astype(np.int64)
+        n_grams, n_contexts = [len(x) for x in count], [len(x) for x in contexts]
+        known, place = np.unique(np.concatenate(contexts), return_inverse=True)
+        context = np.repeat(place, sizes)
+        keys = mix(words ^ mix(known + _STEP)[context])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        total = np.add.reduceat(np.concatenate(count)[order], first)
+        of_each = np.empty(len(order), np.int64)
+        of_each[order] = np.repeat(total, np.diff(np.append(first, len(order))))
+        one = order[first][total > 0]
+        total = total[total > 0]
+        at, low, m = context[one], shorter[one], len(known)
+        seen = np.array([np.bincount(at[x == r], minlength=m) for x in (total, low) for r in range(1, GT_MOST + 1)] + [np.bincount(at, np.where(low > GT_MOST, low, 0), m).astype(np.int64)])
+        answers = []
+        ends, context_ends = np.cumsum(n_grams), np.cumsum(n_contexts)
+        for j, part in enumerate(parts.tolist()):
+            own = seen[:, place[context_ends[j] - n_contexts[j] : context_ends[j]]]
+            answers.append((ANSWERS, part, bucket, hot[j], _pack(of_each[ends[j] - n_grams[j] : ends[j]]), None if hot[j] or k == 1 else _pack(own.ravel()), None, None))
+        if k > 1 and any(hot):
+            row = np.repeat(np.arange(len(parts)), n_contexts)
+            asked = np.flatnonzero(np.array(hot)[row])
+            asked = asked[np.argsort(place[asked], kind="stable")]
+            for a, b in _spans(place[asked]):
+                c = place[asked[a]]
+                answers.append((HOTS, int(known[c].view(np.int64)), bucket, True, None, None, seen[:, c].tolist(), parts[row[asked[a:b]]].tolist()))
+        by_count = np.bincount(np.minimum(total, GT_MOST + 2), minlength=GT_MOST + 3)[1 : GT_MOST + 2].tolist()
+        answers.append((COUNTS, 0, bucket, False, None, None, [*by_count, len(total), int(total.sum())], None))
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*answers, strict=True), schema, strict=True)], schema=schema)
 
     return rows.groupBy("bucket").applyInArrow(run, _ANSWER)
 
 
-class Model:
-    """The few numbers that all tasks share."""
-
-    def __init__(self, n_tokens: int, n_words: int, n_docs: int, word_counts: list[int]):
-        self.n, self.v, self.docs = n_tokens, n_words, n_docs
-        self.d_word = discounts(word_counts)
-        self.d_pair = [0.0] * (GT_MOST + 1)
-        freed = sum((1 - self.d_word[r]) * r * word_counts[r] for r in range(1, GT_MOST + 1))
-        # without any small counts, one token's worth is kept back for the unknown one
-        self.scale = 1.0 if freed > 0 else self.n / (self.n + 1)
-        self.unknown = 1.0 if not self.n else freed / self.n if freed > 0 else 1 / (self.n + 1)
-
-    @staticmethod
-    def _kept(d: list[float], c: np.ndarray) -> np.ndarray:
-        return np.where(c <= GT_MOST, np.array(d)[np.minimum(c, GT_MOST)], 1.0) * c
-
-    def word(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.scale * self._kept(self.d_word, c) / max(self.n, 1), self.unknown)
-
-    def pair(self, c: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return self._kept(self.d_pair, c) / np.maximum(of, 1)
-
-
-def _context_sums(answers: DataFrame, model: Model) -> DataFrame:
-    """context, q, p: sums of the discounted counts and of the words' probabilities over a context's kept pairs, by bucket."""
+def _scored(met: DataFrame, model: Model, order: int, buckets: int, id_type: str) -> DataFrame:
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                a, c, of_word = (_unplanes(batch.column(x)[k].as_py(), kind) for x, kind in enumerate((np.uint64, np.uint32, np.int64)))
-                if not len(a):
-                    continue
-                context = np.cumsum(a, dtype=np.uint64)
-                first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-                q, p = np.add.reduceat(model._kept(model.d_pair, c.astype(np.int64)), first), np.add.reduceat(model.word(of_word), first)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(context[first])), pa.array(q), pa.array(p)], names=["context", "q", "p"])
+            kind = arrow or batch.schema.field("doc_ids").type.value_type
+            for chunk in _chunks([batch], order, buckets):
+                own = chunk.levels[1].count[chunk.tokens]
+                sums = [np.add.reduceat(x, chunk.starts) for x in ((own > 0).astype(np.int64), np.log10((own + 1) / (model.n + model.v + 1)), chunk.log_p(model))]
+                cells = [pa.array(chunk.ids, kind), pa.array([held_out(i) for i in chunk.ids], pa.bool_()), pa.array(chunk.lengths.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(len(chunk.ids), model.n)), pa.array(sums[1]), pa.array(sums[2])]
+                yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return answers.filter(F.col("kind") == KEPT).select("a", "b", "c").mapInArrow(run, "context bigint, q double, p double")
+    return met.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def _scored(chunks: DataFrame, model: Model, hot: np.ndarray, buckets: int, id_type: str) -> DataFrame:
-    shared = chunks.sparkSession.sparkContext.broadcast((model, hot))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot = shared.value
-        for _, chunk, row in _chunks(batches):
-            n = len(chunk.words)
-            c, bow, share = np.zeros(n + 1, np.int64), np.ones(n + 1), np.ones(n + 1)
-            at = row("at").values.to_numpy()
-            c[at], bow[at], share[at] = (row(x).values.to_numpy() for x in ("c", "bow", "share"))
-            c[n], (bow[n], share[n]) = model.docs, row("begin").as_py()
-            _, _, _, word, context, pair = chunk.pairs(hot, buckets)
-            together = np.concatenate([_unplanes(x["a"], np.uint32) for x in sorted(row("answers").as_py(), key=lambda x: x["bucket"])]).astype(np.int64)
-            p = model.word(c[:n])
-            back = np.log10(bow[context]) + np.log10(p[word])
-            with np.errstate(divide="ignore"):
-                log_p = np.where(together > 0, np.log10(share[context] * model.pair(together, c[context])), back)[pair]
-            own = c[chunk.tokens]
-            sums = [np.add.reduceat(x, chunk.starts) for x in ((own > 0).astype(np.int64), np.log10((own + 1) / (model.n + model.v + 1)), log_p)]
-            cells = [pa.array(chunk.ids, arrow), pa.array(chunk.held_out), pa.array(chunk.lengths.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(len(chunk.ids), model.n)), pa.array(sums[1]), pa.array(sums[2])]
-            yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
-
-    return chunks.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
-
-def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pair: int = MIN_PAIR) -> DataFrame:
+def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = documents.sparkSession
     tune(spark)
     shared = Shared(spark, "katz")
     docs = documents.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("data"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    total = docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    parts = max(1, math.ceil(total / 6 / CHUNK))  # words are longer than five bytes
-    name = f"katz_chunks_{uuid.uuid4().hex}"
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    tokens = (docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0) / 6  # words are longer than five bytes
+    parts, buckets = max(1, math.ceil(tokens / CHUNK)), max(1, math.ceil(tokens / BUCKET))
+    name = f"katz_chunks_{uuid.uuid4().hex}"  # bucketed, so that chunks don't move when they meet their answers
     _chunked(docs).write.bucketBy(parts, "part").option("compression", "zstd").option("path", shared.path("chunks")).saveAsTable(name)
-    chunks = spark.table(name)
-
-    word_rows = _word_rows(chunks)
-    counted = shared.write(word_rows.filter("c > 0").groupBy("h").agg(F.sum("c").alias("c")), "words")
-    stats = counted.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), *[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, GT_MOST + 2)]).first()
-    n_tokens = stats["n"] or 0
-    end = int(signed(np.array([_END]))[0])
-    n_docs = counted.filter(F.col("h") == end).agg(F.sum("c")).first()[0] or 0  # an end for each training text
-    model = Model(n_tokens, stats["v"], n_docs, [0, *[stats[f"n{r}"] for r in range(1, GT_MOST + 2)]])
-    hot_rows = counted.filter(F.col("c") * HOT_PART >= max(n_tokens, 1)).select("h", "c").toArrow()  # at most HOT_PART rows
-    hot, hot_counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-    if hot_rows.num_rows:
-        hot = hot_rows["h"].to_numpy().view(np.uint64)
-        order = np.argsort(hot)
-        hot, hot_counts = hot[order], hot_rows["c"].to_numpy()[order]
-    buckets = max(1, math.ceil(total / 6 / BUCKET_PAIRS))
-
-    answers = shared.write(_answered(_pair_rows(chunks, hot, buckets), hot, hot_counts, min_pair), "answers")
-    n_pairs = np.zeros(GT_MOST + 3, np.int64)
-    for row in answers.filter(F.col("kind") == COUNTS).select("a").toLocalIterator():  # a few numbers for each bucket
-        n_pairs += np.frombuffer(row["a"], np.int64)
-    model.d_pair = discounts(n_pairs[: GT_MOST + 2].tolist())
-
-    begin = int(signed(np.array([_BEGIN]))[0])
-    of_context = counted.select(F.col("h").alias("context"), F.col("c").alias("of")).unionByName(spark.createDataFrame([(begin, n_docs)], "context bigint, of bigint"))
-    sums = _context_sums(answers, model).groupBy("context").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).join(of_context, "context")
-    full = F.col("q") > F.col("of") * (1 - 1e-9)
-    share = F.when(full, F.col("of") / (F.col("of") + 1)).otherwise(F.lit(1.0))
-    sums = sums.withColumn("share", share)
-    bow = shared.write(sums.select(F.col("context").alias("h"), "share", ((1 - F.col("share") * F.col("q") / F.col("of")) / (1 - F.col("p"))).alias("bow")), "bow")
-    first = bow.filter(F.col("h") == begin).first()
-    known = counted.join(bow, "h", "left").withColumns({"bow": F.coalesce("bow", F.lit(1.0)), "share": F.coalesce("share", F.lit(1.0))})
-    told = word_rows.select("part", "at", "h").join(known, "h").groupBy("part").agg(F.collect_list(F.struct("at", "c", "bow", "share")).alias("k"))  # at most a chunk's words
-    told = told.select("part", F.col("k.at").alias("at"), F.col("k.c").alias("c"), F.col("k.bow").alias("bow"), F.col("k.share").alias("share"))
-    back = answers.filter(F.col("kind") == ANSWERS).groupBy(F.col("key").alias("part")).agg(F.collect_list(F.struct("bucket", "a")).alias("answers"))
-    nothing = F.array()
-    met = chunks.join(back, "part").join(told, "part", "left").withColumn("begin", F.array(F.lit(first["bow"] if first else 1.0), F.lit(first["share"] if first else 1.0)))
-    met = met.withColumns({"at": F.coalesce("at", nothing.cast("array<int>")), "c": F.coalesce("c", nothing.cast("array<bigint>")), "bow": F.coalesce("bow", nothing.cast("array<double>")), "share": F.coalesce("share", nothing.cast("array<double>"))})
-    return _scored(met, model, hot, buckets, id_type)
+    met, model = spark.table(name), Model()
+    for k in range(1, order + 1):
+        slices, paths = SLICES if k > 2 else 1, []
+        for s in range(slices):
+            sent = _sent(met, k, buckets, (s, slices)).repartition(buckets, "bucket")
+            shared.write(_answered(sent, k), f"answers{k}-{s}", "zstd")
+            paths.append(shared.path(f"answers{k}-{s}"))
+            shared.release()
+        answers = spark.read.schema(_ANSWER).parquet(*paths)
+        sums = answers.filter(F.col("kind") == COUNTS).agg(*[F.sum(F.col("n")[j]).alias(f"n{j}") for j in range(GT_MOST + 3)]).first()
+        model.learn([x or 0 for x in sums])
+        back = answers.filter(F.col("kind") == ANSWERS).groupBy(F.col("key").alias("part")).agg(F.collect_list(F.struct("bucket", "hot", "a", "b")).alias(f"answers{k}"))
+        hot = answers.filter(F.col("kind") == HOTS)
+        whole = hot.groupBy("key").agg(F.array(*[F.sum(F.col("n")[j]) for j in range(2 * GT_MOST + 1)]).alias("n"))
+        asked = hot.select("key", F.explode("parts").alias("part")).distinct()
+        hot = asked.join(whole, "key").groupBy("part").agg(F.collect_list(F.struct("key", "n")).alias(f"hot{k}"))  # of a chunk's own contexts
+        met = met.join(back, "part", "left").join(shared.write(hot, f"hot{k}"), "part", "left")
+    result = shared.write(_scored(met, model, order, buckets, id_type), "scores")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for x in ["chunks", *[f"answers{k}-{s}" for k in range(1, order + 1) for s in range(SLICES)], *[f"hot{k}" for k in range(1, order + 1)]]:
+        shared.drop(x)
+    shared.release()
+    return result

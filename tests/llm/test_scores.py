@@ -1,9 +1,8 @@
 import math
 import random
-import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
-from sylvagraph.llm import katz, line_templates, quality
+from sylvagraph.llm import line_templates, quality
 
 DOC = "doc_id bigint, text string, lang string, kept int, score double"
 
@@ -89,50 +88,3 @@ def test_templates(spark):
         else:
             assert r.text == dict((a, b) for a, b, *_ in rows)[r.doc_id] and r._dropped == []
     assert line_templates.drop_templates(df.limit(0)).count() == 0
-
-
-def katz_brute(rows):
-    docs = [(i, (t or "").encode().lower().split() + ["end"], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
-    one, two, n_docs = Counter(), Counter(), 0
-    for _, w, out in docs:
-        if not out:
-            n_docs += 1
-            one.update(w)
-            two.update(zip(["begin", *w[:-1]], w, strict=True))
-    n, v = sum(one.values()), len(one)
-    d1, d2 = (katz.discounts([0] + [sum(c == r for c in x.values()) for r in range(1, 7)]) for x in (one, two))
-    cut = lambda d, c: d[c] * c if c <= 5 else c
-    freed = sum(c - cut(d1, c) for c in one.values())
-    p = {w: cut(d1, c) / n * (1 if freed else n / (n + 1)) for w, c in one.items()}
-    unknown = 1.0 if not n else freed / n if freed else 1 / (n + 1)
-    of = dict(one) | {"begin": n_docs}
-    q, s = defaultdict(float), defaultdict(float)
-    for (h, w), c in two.items():
-        if c >= 2:
-            q[h] += cut(d2, c)
-            s[h] += p[w]
-    share = {h: of[h] / (of[h] + 1) if q[h] > of[h] * (1 - 1e-9) else 1 for h in q}
-    bow = {h: (1 - share[h] * q[h] / of[h]) / (1 - s[h]) for h in q}
-    prob = lambda h, w: share[h] * cut(d2, two[h, w]) / of[h] if two[h, w] >= 2 else bow.get(h, 1) * p.get(w, unknown)
-    for h in list(q)[:20]:
-        kept = {w for a, w in two if a == h and two[a, w] >= 2}
-        assert abs(sum(prob(h, w) for w in one) + bow[h] * unknown - 1) < 1e-9 or not kept
-    return [(i, out, len(w), sum(x in one for x in w), n, sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(prob(h, x)) for h, x in zip(["begin", *w[:-1]], w, strict=True))) for i, w, out in docs]
-
-
-def test_katz(spark, monkeypatch):
-    monkeypatch.setattr(katz, "BUCKET_PAIRS", 40)
-    rnd = random.Random(8)
-    words = [f"v{int(rnd.paretovariate(0.7))}" for _ in range(5000)]
-    rows = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randrange(60)))) for k in range(150)] + [(200, None), (201, ""), (202, "x x x x x x x"), (None, "The END"), (5, "other text of five")]
-    rows.append(rows[0])
-    df = spark.createDataFrame([(i, t, "en", 0, 0.0) for i, t in rows], DOC)
-    key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[6])
-    got, expected = sorted((tuple(r) for r in katz.score(df).collect()), key=key), sorted(katz_brute(rows), key=key)
-    for a, b in zip(got, expected, strict=True):
-        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 and abs(a[6] - b[6]) < 1e-6
-    held = [r for r in got if r[1]]
-    assert sum(r[6] for r in held) > sum(r[5] for r in held)  # better than the base on held-out texts
-    assert katz.score(df.limit(0)).count() == 0
-    alone = katz.score(df.filter("doc_id = 6")) if zlib.crc32(b"6") % 7 == 2 else None
-    assert alone is None or alone.first()["score"] == 0.0
