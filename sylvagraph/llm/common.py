@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -56,9 +57,13 @@ class Shared:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def release(self) -> None:
-        """Lets Spark remove the shuffle files of finished jobs now: it does so when the driver collects garbage."""
+        """Lets Spark remove the shuffle files of finished jobs now: it does so when the driver collects garbage, and
+        what Python held is garbage to the driver a moment later."""
         gc.collect()
-        self.spark._jvm.System.gc()
+        self.spark.range(1).collect()  # the listeners' queue holds on to the last query until there is another one
+        for _ in range(2):
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
@@ -95,6 +100,76 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
+#: A random number for each byte at each place in a word, modulo 64; white space counts nothing.
+_AT = np.random.default_rng(64).integers(0, 1 << 63, (256, 64), np.uint64) * np.uint64(2) + np.uint64(1)
+_AT[_SPACES] = 0
+_FOLDED = _AT.copy()
+_FOLDED[65:91] = _AT[97:123]
+#: Bytes that are hashed at once; a single longer word is, too.
+HASH_BLOCK = 1 << 20
+
+
+def _hash_block(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    b = np.frombuffer(data, np.uint8)
+    word = ~_SPACES[b]
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, np.uint64), starts, ends
+    own = np.zeros(len(b), np.int32)  # start of the word that a byte belongs to or follows
+    own[starts] = np.diff(starts, prepend=0)
+    at = np.arange(len(b), dtype=np.int32) - np.cumsum(own, dtype=np.int32)
+    value = table.ravel()[(b.astype(np.int32) << 6) | (at & 63)]
+    sizes = ends - starts
+    if int(sizes.max()) > 64:
+        value *= 2 * (at >> 6).astype(np.uint64) + np.uint64(1)
+    return mix(np.add.reduceat(value, starts) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts, ends
+
+
+def hashed_words(texts: Iterable[bytes | None], fold: bool = False) -> Iterator[np.ndarray]:
+    """64-bit hashes of the white-space separated words of each text, in turn; with `fold`, A-Z count as a-z.
+
+    Texts are hashed together, about HASH_BLOCK bytes at a time; long texts are cut between words.
+    """
+    table = _FOLDED if fold else _AT
+    held: list[bytes] = []
+    size = 0
+
+    def together() -> Iterator[np.ndarray]:
+        hashes, starts, _ = _hash_block(b" ".join(held) + b" ", table)
+        ends = np.cumsum([len(x) + 1 for x in held])
+        yield from np.split(hashes, np.searchsorted(starts, ends[:-1]))
+
+    for text in texts:
+        text = text or b""
+        if len(text) > HASH_BLOCK:
+            if held:
+                yield from together()
+                held, size = [], 0
+            yield np.concatenate([_hash_block(part, table)[0] for part in cut_between_words(text)])
+            continue
+        held.append(text)
+        size += len(text) + 1
+        if size >= HASH_BLOCK:
+            yield from together()
+            held, size = [], 0
+    if held:
+        yield from together()
+
+
+def cut_between_words(text: bytes) -> Iterator[bytes]:
+    """Parts of about HASH_BLOCK bytes that each end after a whole word."""
+    start = 0
+    while start < len(text):
+        end = start + HASH_BLOCK
+        while end < len(text) and not _SPACES[text[end]]:
+            end += 1
+        yield text[start:end]
+        start = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 bits (a bijection)."""
     x = x ^ (x >> np.uint64(33))

@@ -38,23 +38,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, WordHash, mix, rows_of, signed, text_bytes, tune
+from .common import Shared, hashed_words, mix, text_bytes, tune
 
 HELD_OUT_OF, HELD_OUT = 7, 2
-ORDER = 3
+ORDER = 2
 GT_MOST = 5
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: n-grams that a bucket gets, at most about, copies from several chunks included.
-BUCKET = 1_000_000
+BUCKET = 1_500_000
 #: Tokens from which a context's words are dealt out to several buckets.
 HOT = 200_000
-#: Parts in which the n-grams of an order from 3 on are counted, one after the other, so that less is on disk at once.
-SLICES = 2
+#: Parts, by contexts, in which the n-grams of an order from 3 on are counted one after the other: less is on disk at once.
+SLICES = 3
 _END = np.uint64(0x9E3779B97F4A7C15)
 _BEGIN = np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP = np.uint64(0x9E3779B185EBCA87)
 _TOP = np.uint64(32)
-_WORDS = WordHash()
 
 
 def held_out(doc_id) -> bool:
@@ -98,6 +97,10 @@ def _unpack_words(data: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _slice(contexts: np.ndarray) -> np.ndarray:
+    return contexts % np.uint64(SLICES)
+
+
 def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
     """Runs of equal keys, none of which is negative."""
     edges = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -122,8 +125,8 @@ def _chunked(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, data in rows_of([batch]):
-                held.append(np.append(_WORDS.of((data or b"").lower().split()), _END))
+            for doc, words in zip(batch.column(0).to_pylist(), hashed_words((x.as_py() for x in batch.column(1)), True), strict=True):
+                held.append(np.append(words, _END))
                 ids.append(doc)
                 total += len(held[-1])
                 if total >= CHUNK:
@@ -158,6 +161,15 @@ class Model:
         return np.where(c <= GT_MOST, np.array(self.d[k])[np.minimum(c, GT_MOST)], 1.0) * c
 
 
+    def backed(self, k: int, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What discounts free, and the discounted counts of the shorter n-grams, by context. Rows of `seen`: words after
+        a context by count 1..GT_MOST, by shorter count 1..GT_MOST, sum of the larger shorter counts."""
+        # plain sums: a matrix product would start threads
+        freed = sum((1 - self.d[k][r]) * r * seen[r - 1].astype(np.float64) for r in range(1, GT_MOST + 1))
+        mass = seen[-1] + sum(self.d[k - 1][r] * r * seen[GT_MOST + r - 1].astype(np.float64) for r in range(1, GT_MOST + 1))
+        return freed, mass
+
+
 class Level:
     """The distinct k-grams of a chunk, by context hash and word hash."""
 
@@ -168,7 +180,8 @@ class Level:
     of_token: np.ndarray  # of each token: its n-gram, -1 if the text has too few words before it
     count: np.ndarray  # of each n-gram, in training; and of its context
     of_context: np.ndarray
-    seen: np.ndarray  # of each context: words after it by count 1..GT_MOST, by shorter count 1..GT_MOST, rest's sum
+    freed: np.ndarray  # of each context: what discounts take from the counts after it
+    mass: np.ndarray  # of each context: discounted counts of the shorter n-grams of the words seen after it
 
 
 class Chunk:
@@ -181,8 +194,8 @@ class Chunk:
         self.levels: list[Level | None] = [None]
         self._place, self._hash = self.tokens, self.words  # of the last level, in the order of its hashes
 
-    def extend(self) -> Level:
-        """Adds the next level."""
+    def extend(self, only: int | None = None, last: bool = False) -> Level:
+        """Adds the next level, or its slice `only`; the last one needs no place in hash order."""
         k, n = len(self.levels), len(self.words)
         level = Level()
         if k == 1:
@@ -203,15 +216,22 @@ class Chunk:
             for j in range(k - 2):
                 valid[self.starts[self.lengths > j] + j] = False
             at = np.flatnonzero(valid)
+            if only is not None:
+                at = at[_slice(self._hash)[before[at]] == only]
             known = lower.count[self._by_hash]
         keys, inverse = np.unique(before[at] * n + self.tokens[at], return_inverse=True)
-        contexts, level.word = keys // n, keys % n
-        used, level.context = np.unique(contexts, return_inverse=True)
+        contexts = keys // n
+        level.word = keys - contexts * n
+        new = np.diff(contexts, prepend=-1) > 0
+        used, level.context = contexts[new], np.cumsum(new) - 1
         level.contexts, level.of_context = self._hash[used], known[used]
         level.of_token = np.full(len(self.tokens), -1)
         level.of_token[at] = inverse
         level.shorter = np.empty(len(keys), np.int64)
         level.shorter[inverse] = lower.of_token[at]
+        self.levels.append(level)
+        if last:
+            return level
         # ids of the next level's contexts, in the order of their hashes
         hashes = mix(level.contexts[level.context] * _STEP + self.words[level.word])
         self._by_hash = np.argsort(hashes)
@@ -219,36 +239,40 @@ class Chunk:
         rank[self._by_hash] = np.arange(len(keys))
         self._place, self._hash = np.full(len(self.tokens), -1), hashes[self._by_hash]
         self._place[at] = rank[inverse]
-        self.levels.append(level)
         return level
 
-    def dealt(self, k: int, buckets: int) -> tuple:
-        """(n-grams of plain contexts, their buckets), (n-grams of hot contexts, theirs); both in the order of buckets."""
+    def dealt(self, k: int, buckets: int, slice_: int = 0) -> tuple:
+        """For a slice: (n-grams of plain contexts, their buckets), (n-grams of hot contexts, theirs); in the order of
+        buckets."""
         level = self.levels[k]
         base = ((level.contexts >> _TOP) * np.uint64(buckets) >> _TOP).astype(np.int64)
         splits = np.minimum(-(-level.of_context // HOT), buckets)
-        hot = (splits > 1)[level.context]
-        plain, hot = np.flatnonzero(~hot), np.flatnonzero(hot)
+        own = _slice(level.contexts) == slice_ if k > 2 else np.ones(len(base), bool)
+        plain, hot = np.flatnonzero((own & (splits <= 1))[level.context]), np.flatnonzero((own & (splits > 1))[level.context])
         at = level.context[hot]
         bucket = (base[at] + ((mix(self.words[level.word[hot]]) >> _TOP) * splits[at].astype(np.uint64) >> _TOP).astype(np.int64)) % buckets
         order = np.argsort(bucket, kind="stable")
         return (plain, base[level.context[plain]]), (hot[order], bucket[order])
 
-    def told(self, k: int, buckets: int, answers: list[dict], hot: list[dict] | None) -> None:
-        """Takes in the answers to a level."""
+    def told(self, k: int, buckets: int, answers: list[dict], hot: list[dict] | None, model: Model | None) -> None:
+        """Takes in the answers to a level; what backoff needs too, if the model is known."""
         level = self.levels[k]
         level.count = np.zeros(len(level.word), np.int64)
-        level.seen = np.zeros((2 * GT_MOST + 1, len(level.contexts)), np.int64)
-        answers = sorted(answers or [], key=lambda x: (x["hot"], x["bucket"]))
-        for is_hot, (grams, _) in zip((False, True), self.dealt(k, buckets), strict=True):
-            own = [x for x in answers if x["hot"] == is_hot]
-            if own:
-                level.count[grams] = np.concatenate([_unpack(x["a"]) for x in own])
-                if not is_hot and k > 1:
-                    level.seen[:, np.unique(level.context[grams])] = np.concatenate([_unpack(x["b"]).reshape(2 * GT_MOST + 1, -1) for x in own], axis=1)
-        if hot:
+        level.freed, level.mass = np.zeros(len(level.contexts)), np.zeros(len(level.contexts))
+        answers = sorted(answers or [], key=lambda x: (x["slice"], x["hot"], x["bucket"]))
+        for slice_ in range(SLICES if k > 2 else 1):
+            for is_hot, (grams, _) in zip((False, True), self.dealt(k, buckets, slice_), strict=True):
+                own = [x for x in answers if x["hot"] == is_hot and x["slice"] == slice_]
+                if own:
+                    level.count[grams] = np.concatenate([_unpack(x["a"]) for x in own])
+                    if model and not is_hot and k > 1:
+                        at = level.context[grams]
+                        at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+                        both = [model.backed(k, _unpack(x["b"]).reshape(2 * GT_MOST + 1, -1)) for x in own]
+                        level.freed[at], level.mass[at] = (np.concatenate(x) for x in zip(*both, strict=True))
+        if model and hot:
             at = np.searchsorted(level.contexts, np.array([x["key"] for x in hot], np.int64).view(np.uint64))
-            level.seen[:, at] = np.array([x["n"] for x in hot], np.int64).T
+            level.freed[at], level.mass[at] = model.backed(k, np.array([x["n"] for x in hot], np.int64).T)
 
     def log_p(self, model: Model) -> np.ndarray:
         """log10 of each token's probability, by recursion over the orders."""
@@ -257,18 +281,15 @@ class Chunk:
         logs = np.log10(np.where(base.count > 0, p, model.unknown))
         of_token = logs[base.of_token]
         scale = np.full(1, model.scale)
-        r = np.arange(1, GT_MOST + 1)
         for k, level in enumerate(self.levels[2:], 2):
             c = np.maximum(level.of_context, 1)
-            by_count, by_shorter, rest = level.seen[:GT_MOST], level.seen[GT_MOST : 2 * GT_MOST], level.seen[2 * GT_MOST]
-            freed = ((1 - np.array(model.d[k][1:])) * r) @ by_count
-            share = np.where(freed > 1e-9 * c, 1.0, c / (c + 1))
+            share = np.where(level.freed > 1e-9 * c, 1.0, c / (c + 1))
             some = np.empty(len(level.contexts), np.int64)
             some[level.context] = np.arange(len(level.word))  # an n-gram of each context
             lower = self.levels[k - 1]
             shorter = scale[lower.context[level.shorter[some]]]
-            mass = shorter * (rest + (np.array(model.d[k - 1][1:]) * r) @ by_shorter)
-            bow = np.where(level.of_context > 0, (1 - share * (c - freed) / c) / (1 - mass), 1.0)
+            mass = shorter * level.mass
+            bow = np.where(level.of_context > 0, (1 - share * (c - level.freed) / c) / (1 - mass), 1.0)
             scale = share / c
             back = np.log10(bow)[level.context] + logs[level.shorter]
             with np.errstate(divide="ignore"):
@@ -278,39 +299,37 @@ class Chunk:
         return of_token
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], upto: int, buckets: int) -> Iterator[Chunk]:
+def _chunks(batches: Iterable[pa.RecordBatch], upto: int, buckets: list[int], model: Model | None = None) -> Iterator[Chunk]:
     """Chunks with the answers to the first `upto` levels taken in."""
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pylist()[0]
             chunk = Chunk(row)
             for level in range(1, upto + 1):
-                chunk.extend()
-                chunk.told(level, buckets, row[f"answers{level}"], row[f"hot{level}"])
+                chunk.extend(last=model is not None and level == upto)
+                chunk.told(level, buckets[level], row.pop(f"answers{level}"), row.pop(f"hot{level}"), model)
             yield chunk
 
 
-_SENT = "part bigint, bucket bigint, hot boolean, contexts binary, sizes binary, words binary, counts binary, shorter binary"
+_SENT = "part bigint, slice int, bucket bigint, hot boolean, contexts binary, sizes binary, words binary, counts binary, shorter binary"
 
 
-def _sent(met: DataFrame, k: int, buckets: int, part_of: tuple[int, int]) -> DataFrame:
-    """The distinct k-grams of all chunks that go to one slice of the buckets, packed by bucket."""
-    slice_, slices = part_of
-    schema = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("hot", pa.bool_()), *[(c, pa.binary()) for c in ("contexts", "sizes", "words", "counts", "shorter")]])
+def _sent(met: DataFrame, k: int, buckets: list[int], slice_: int) -> DataFrame:
+    """The distinct k-grams of all chunks, of one slice of the contexts, packed by bucket."""
+    schema = pa.schema([("part", pa.int64()), ("slice", pa.int32()), ("bucket", pa.int64()), ("hot", pa.bool_()), *[(c, pa.binary()) for c in ("contexts", "sizes", "words", "counts", "shorter")]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, k - 1, buckets):
-            level = chunk.extend()
+            level = chunk.extend(slice_ if k > 2 else None, True)
             counts = np.bincount(level.of_token[chunk.train & (level.of_token >= 0)], minlength=len(level.word))
             lower = chunk.levels[k - 1].count if k > 1 else np.zeros(len(level.word), np.int64)
             rows = []
-            for hot, (grams, bucket) in zip((False, True), chunk.dealt(k, buckets), strict=True):
+            for hot, (grams, bucket) in zip((False, True), chunk.dealt(k, buckets[k], slice_), strict=True):
                 for a, b in _spans(bucket):
-                    if bucket[a] % slices == slice_:
-                        own = grams[a:b]
-                        first = np.flatnonzero(np.diff(level.context[own], prepend=-1))
-                        contexts = level.contexts[level.context[own[first]]]
-                        rows.append((chunk.part, int(bucket[a]), hot, _pack(np.diff(contexts, prepend=np.uint64(0))), _pack(np.diff(np.append(first, len(own)))), _pack_words(chunk.words[level.word[own]]) if k > 1 else chunk.words[own].tobytes(), _pack(counts[own]), _pack(lower[level.shorter[own]])))
+                    own = grams[a:b]
+                    first = np.flatnonzero(np.diff(level.context[own], prepend=-1))
+                    contexts = level.contexts[level.context[own[first]]]
+                    rows.append((chunk.part, slice_, int(bucket[a]), hot, _pack(np.diff(contexts, prepend=np.uint64(0))), _pack(np.diff(np.append(first, len(own)))), _pack_words(chunk.words[level.word[own]]) if k > 1 else chunk.words[own].tobytes(), _pack(counts[own]), _pack(lower[level.shorter[own]])))
             del chunk, level
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -319,16 +338,16 @@ def _sent(met: DataFrame, k: int, buckets: int, part_of: tuple[int, int]) -> Dat
 
 
 ANSWERS, HOTS, COUNTS = 0, 1, 2
-_ANSWER = "kind int, key bigint, bucket bigint, hot boolean, a binary, b binary, n array<bigint>, parts array<bigint>"
+_ANSWER = "kind int, key bigint, slice int, bucket bigint, hot boolean, a binary, b binary, n array<bigint>, parts array<bigint>"
 
 
 def _answered(rows: DataFrame, k: int) -> DataFrame:
-    """By bucket. ANSWERS: to each chunk (key) the counts of its k-grams, and Level.seen of its plain contexts; HOTS: the
-    bucket's share in Level.seen of each hot context (key), and the chunks that ask; COUNTS: for Model.learn."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("bucket", pa.int64()), ("hot", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
+    """By bucket. ANSWERS: to each chunk (key) the counts of its k-grams, and for its plain contexts what Model.backed
+    needs; HOTS: the bucket's share in that of each hot context (key), and the chunks that ask; COUNTS: for Model.learn."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("slice", pa.int32()), ("bucket", pa.int64()), ("hot", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
+        slice_, bucket = table.column("slice")[0].as_py(), table.column("bucket")[0].as_py()
         parts, hot = table.column("part").to_numpy(), table.column("hot").to_pylist()
         contexts = [np.cumsum(_unpack(x.as_py()), dtype=np.uint64) for x in table.column("contexts")]
         sizes = np.concatenate([_unpack(x.as_py()) for x in table.column("sizes")]).astype(np.int64)
@@ -354,28 +373,28 @@ def _answered(rows: DataFrame, k: int) -> DataFrame:
         ends, context_ends = np.cumsum(n_grams), np.cumsum(n_contexts)
         for j, part in enumerate(parts.tolist()):
             own = seen[:, place[context_ends[j] - n_contexts[j] : context_ends[j]]]
-            answers.append((ANSWERS, part, bucket, hot[j], _pack(of_each[ends[j] - n_grams[j] : ends[j]]), None if hot[j] or k == 1 else _pack(own.ravel()), None, None))
+            answers.append((ANSWERS, part, slice_, bucket, hot[j], _pack(of_each[ends[j] - n_grams[j] : ends[j]]), None if hot[j] or k == 1 else _pack(own.ravel()), None, None))
         if k > 1 and any(hot):
             row = np.repeat(np.arange(len(parts)), n_contexts)
             asked = np.flatnonzero(np.array(hot)[row])
             asked = asked[np.argsort(place[asked], kind="stable")]
             for a, b in _spans(place[asked]):
                 c = place[asked[a]]
-                answers.append((HOTS, int(known[c].view(np.int64)), bucket, True, None, None, seen[:, c].tolist(), parts[row[asked[a:b]]].tolist()))
+                answers.append((HOTS, int(known[c].view(np.int64)), slice_, bucket, True, None, None, seen[:, c].tolist(), parts[row[asked[a:b]]].tolist()))
         by_count = np.bincount(np.minimum(total, GT_MOST + 2), minlength=GT_MOST + 3)[1 : GT_MOST + 2].tolist()
-        answers.append((COUNTS, 0, bucket, False, None, None, [*by_count, len(total), int(total.sum())], None))
+        answers.append((COUNTS, 0, slice_, bucket, False, None, None, [*by_count, len(total), int(total.sum())], None))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*answers, strict=True), schema, strict=True)], schema=schema)
 
     return rows.groupBy("bucket").applyInArrow(run, _ANSWER)
 
 
-def _scored(met: DataFrame, model: Model, order: int, buckets: int, id_type: str) -> DataFrame:
+def _scored(met: DataFrame, model: Model, order: int, buckets: list[int], id_type: str) -> DataFrame:
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = arrow or batch.schema.field("doc_ids").type.value_type
-            for chunk in _chunks([batch], order, buckets):
+            for chunk in _chunks([batch], order, buckets, model):
                 own = chunk.levels[1].count[chunk.tokens]
                 sums = [np.add.reduceat(x, chunk.starts) for x in ((own > 0).astype(np.int64), np.log10((own + 1) / (model.n + model.v + 1)), chunk.log_p(model))]
                 cells = [pa.array(chunk.ids, kind), pa.array([held_out(i) for i in chunk.ids], pa.bool_()), pa.array(chunk.lengths.astype(np.int64)), pa.array(sums[0]), pa.array(np.full(len(chunk.ids), model.n)), pa.array(sums[1]), pa.array(sums[2])]
@@ -392,21 +411,23 @@ def score(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = documents.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("data"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     tokens = (docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0) / 6  # words are longer than five bytes
-    parts, buckets = max(1, math.ceil(tokens / CHUNK)), max(1, math.ceil(tokens / BUCKET))
+    parts = max(1, math.ceil(tokens / CHUNK))
+    buckets = [0, *[max(1, math.ceil(tokens / BUCKET / (SLICES if k > 2 else 1))) for k in range(1, order + 1)]]
     name = f"katz_chunks_{uuid.uuid4().hex}"  # bucketed, so that chunks don't move when they meet their answers
     _chunked(docs).write.bucketBy(parts, "part").option("compression", "zstd").option("path", shared.path("chunks")).saveAsTable(name)
     met, model = spark.table(name), Model()
     for k in range(1, order + 1):
         slices, paths = SLICES if k > 2 else 1, []
         for s in range(slices):
-            sent = _sent(met, k, buckets, (s, slices)).repartition(buckets, "bucket")
+            sent = _sent(met, k, buckets, s).repartition(buckets[k], "bucket")
             shared.write(_answered(sent, k), f"answers{k}-{s}", "zstd")
             paths.append(shared.path(f"answers{k}-{s}"))
+            del sent
             shared.release()
         answers = spark.read.schema(_ANSWER).parquet(*paths)
         sums = answers.filter(F.col("kind") == COUNTS).agg(*[F.sum(F.col("n")[j]).alias(f"n{j}") for j in range(GT_MOST + 3)]).first()
         model.learn([x or 0 for x in sums])
-        back = answers.filter(F.col("kind") == ANSWERS).groupBy(F.col("key").alias("part")).agg(F.collect_list(F.struct("bucket", "hot", "a", "b")).alias(f"answers{k}"))
+        back = answers.filter(F.col("kind") == ANSWERS).withColumnRenamed("key", "part").repartition(parts, "part").groupBy("part").agg(F.collect_list(F.struct("slice", "bucket", "hot", "a", "b")).alias(f"answers{k}"))
         hot = answers.filter(F.col("kind") == HOTS)
         whole = hot.groupBy("key").agg(F.array(*[F.sum(F.col("n")[j]) for j in range(2 * GT_MOST + 1)]).alias("n"))
         asked = hot.select("key", F.explode("parts").alias("part")).distinct()
