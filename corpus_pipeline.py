@@ -51,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids, and digests of the ids and of the text decoded from them."""
     ranks = public_tokenizers.path(BPE_RANKS)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, keep_text=False)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return bpe.decode(encoded, ranks).select(
         "doc_id",

@@ -42,3 +42,25 @@ def message_pass(nodes: DataFrame, edges: DataFrame, rounds: int, dim: int) -> D
         mean = mean_vector(messages, ["graph_id", "node_id"], dim)
         now = cut(mean.withColumn("vector", F.transform("vector", lambda x: F.greatest(x, F.lit(0.0)))))
     return now
+
+
+# The slot of each kind among the 16 of a node's type; 15 for all others.
+TYPE_SLOTS = {
+    "Root": 0, "Module": 1, "Class": 2, "Struct": 2, "Function": 3, "Variable": 4, "Field": 4, "If": 5, "While": 5, "For": 5, "Loop": 5, "Return": 6, "Break": 6, "Continue": 6,
+    "Call": 7, "BinaryOp": 8, "UnaryOp": 8, "Assignment": 9, "Identifier": 10, "Literal": 11, "Block": 12, "Parameter": 13, "Try": 14, "Catch": 14, "Throw": 14,
+}
+N_SLOTS, DIM = 16, 128
+
+
+def type_slot(tag: Column) -> Column:
+    slot = F.lit(N_SLOTS - 1)
+    for k in sorted(set(TYPE_SLOTS.values())):
+        slot = F.when(tag.isin(*[t for t, s in TYPE_SLOTS.items() if s == k]), F.lit(k)).otherwise(slot)
+    return slot
+
+
+def initial(nodes: DataFrame, dim: int = DIM, seed: int = 0) -> DataFrame:
+    """graph_id, node_id, embedding: numbers in [-0.1, 0.1) that depend on node, place and seed alone, and 1 more at the
+    slot of the node's type, if there is such a place."""
+    noise = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")), lambda i: F.pmod(F.col("node_id") * 7919 + i * 104_729 + (F.col("node_id") % 1009) * i * 31 + seed, F.lit(65_537)) / 65_537 * 0.2 - 0.1)
+    return nodes.select("graph_id", "node_id", F.transform(noise, lambda x, i: x + F.when(i == type_slot(F.col("tag")), 1.0).otherwise(0.0)).alias("embedding"))

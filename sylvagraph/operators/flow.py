@@ -14,8 +14,12 @@ from collections.abc import Generator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import kinds
+from ..plans.fixpoint import bfs
+from ..plans.storage import cut
 
 NEW_EDGE = "graph_id bigint, source bigint, target bigint, family string, kind string, subkind string"
 ENDS_BLOCK = ("Return", "Break", "Continue", "Throw")
@@ -384,6 +388,11 @@ def control_dependence(tree: Tree, flow: ControlFlow, function: int) -> set[tupl
     return found
 
 
+def _by_graph(nodes: DataFrame, edges: DataFrame):
+    """Both sides by graph; the edges' key is named anew, as nodes and edges may come from one frame."""
+    return nodes.groupBy("graph_id").cogroup(edges.withColumnRenamed("graph_id", "of_graph").groupBy("of_graph"))
+
+
 def extract(nodes: DataFrame, edges: DataFrame, exceptions: bool = True, calls: bool = True) -> DataFrame:
     """New edges (NEW_EDGE): control flow, data flow, control and data dependence of all functions.
 
@@ -404,4 +413,58 @@ def extract(nodes: DataFrame, edges: DataFrame, exceptions: bool = True, calls:
         out.insert(0, "graph_id", key[0])
         return out
 
-    return nodes.groupBy("graph_id").cogroup(edges.groupBy("graph_id")).applyInPandas(run, NEW_EDGE)
+    return _by_graph(nodes, edges).applyInPandas(run, NEW_EDGE)
+
+
+def marks(nodes: DataFrame, edges: DataFrame, exceptions: bool = True, calls: bool = True) -> DataFrame:
+    """graph_id, function_id, node_id, mark: each function as its own entry, and the exits of its control flow, once."""
+
+    def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        flow = ControlFlow(Tree(n, e), exceptions, calls)
+        rows = [(key[0], f, f, "entry") for f in flow.entries] + [(key[0], f, x, "exit") for f, own in flow.exits.items() for x in dict.fromkeys(own)]
+        return pd.DataFrame(rows, columns=["graph_id", "function_id", "node_id", "mark"])
+
+    return _by_graph(nodes, edges).applyInPandas(run, "graph_id bigint, function_id bigint, node_id bigint, mark string")
+
+
+BRANCHES = ("If", "While", "For", "Loop", "Match", "Return", "Break", "Continue")
+
+
+def basic_blocks(nodes: DataFrame, cfg: DataFrame) -> DataFrame:
+    """graph_id, leader, node_id, position: the blocks of all functions, over control-flow edges.
+
+    Leaders are functions, targets of conditional and loop edges, and successors of branching nodes. A block follows its
+    leader along lone sequential edges to nodes that lead none; rounds of joins, one for each further node.
+    """
+    key = ["graph_id", "node_id"]
+    functions = nodes.filter("tag = 'Function'").select(*key)
+    targets = cfg.filter(kinds.is_conditional() | kinds.is_loop()).select("graph_id", F.col("target").alias("node_id"))
+    branching = nodes.filter(F.col("tag").isin(*BRANCHES)).select("graph_id", F.col("node_id").alias("source"))
+    after = cfg.join(branching, ["graph_id", "source"], "left_semi").select("graph_id", F.col("target").alias("node_id"))
+    leaders = cut(functions.unionByName(targets).unionByName(after).distinct().join(nodes.select(*key), key, "left_semi"))
+    lone = cfg.groupBy("graph_id", "source").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("target"), F.min("subkind").alias("subkind")).filter("n = 1 AND subkind = 'Sequential'")
+    step = lone.join(leaders.select("graph_id", F.col("node_id").alias("target")), ["graph_id", "target"], "left_anti")
+    step = step.select(F.struct("graph_id", F.col("source").alias("n")).alias("src"), F.struct("graph_id", F.col("target").alias("n")).alias("dst"))
+    seeds = leaders.select(F.struct("graph_id", F.col("node_id").alias("n")).alias("seed")).withColumn("node", F.col("seed"))
+    return bfs(step, seeds).select("seed.graph_id", F.col("seed.n").alias("leader"), F.col("node.n").alias("node_id"), F.col("depth").alias("position"))
+
+
+def slices(dependences: DataFrame, criteria: DataFrame, backward: bool = False, most: int | None = None) -> DataFrame:
+    """graph_id, criterion, node_id, depth: what each criterion (graph_id, node_id) reaches over dependence edges, itself
+    included; of more than `most` nodes those of least depth, then id, stay."""
+    a, b = ("target", "source") if backward else ("source", "target")
+    step = dependences.select(F.struct("graph_id", F.col(a).alias("n")).alias("src"), F.struct("graph_id", F.col(b).alias("n")).alias("dst"))
+    seeds = criteria.select(F.struct("graph_id", F.col("node_id").alias("n")).alias("seed")).withColumn("node", F.col("seed"))
+    found = bfs(step, seeds).select("seed.graph_id", F.col("seed.n").alias("criterion"), F.col("node.n").alias("node_id"), "depth")
+    if most is None:
+        return found
+    order = W.partitionBy("graph_id", "criterion").orderBy("depth", "node_id")
+    return found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
+
+
+def chains(flow: DataFrame, nodes: DataFrame) -> DataFrame:
+    """graph_id, name, definition, use of every DefUse edge; filter by definition or use for the one's uses or the other's
+    definitions. The name is the use's."""
+    named = nodes.select("graph_id", F.col("node_id").alias("use"), "name")
+    pairs = flow.filter("subkind = 'DefUse'").select("graph_id", F.col("source").alias("definition"), F.col("target").alias("use")).distinct()
+    return pairs.join(named, ["graph_id", "use"]).select("graph_id", "name", "definition", "use")

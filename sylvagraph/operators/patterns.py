@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import cut
@@ -64,3 +64,14 @@ def detect(nodes: DataFrame, edges: DataFrame, names: list[str] | None = None, l
         rows = counted.select("graph_id", F.lit(name).alias("pattern"), F.lit(category).alias("category"), "n_matches", F.lit(confidence).alias("confidence"))
         found = rows if found is None else found.unionByName(rows)
     return found
+
+
+def confidence(matched: Column, expected: Column, least: Column) -> Column:
+    """Of a match of some of a template's nodes: half of the base where none is, the whole base where all are."""
+    share = F.when(expected > 0, matched / expected).otherwise(F.lit(0.0))
+    return share * least + (1 - share) * 0.5 * least
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """pattern, category, n_nodes, n_edges, confidence: the supported patterns."""
+    return spark.createDataFrame([(n, c, len(p.nodes), len(p.edges), x) for n, (c, x, p) in CATALOGUE.items()], "pattern string, category string, n_nodes bigint, n_edges bigint, confidence double")

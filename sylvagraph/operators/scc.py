@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import kinds
 from ..plans.storage import configure, cut
+from .traversal import function_scope
 
 #: Edges up to which a graph is handled by one task.
 SMALL_GRAPH = 2_000_000
@@ -131,3 +133,29 @@ def condensation(membership: DataFrame, edges: DataFrame) -> DataFrame:
     b = membership.select("graph_id", F.col("node_id").alias("target"), F.col("component_id").alias("b"))
     joined = edges.select("graph_id", "source", "target").distinct().join(a, ["graph_id", "source"]).join(b, ["graph_id", "target"])
     return joined.filter("a <> b").select("graph_id", F.col("a").alias("source"), F.col("b").alias("target")).distinct()
+
+
+def control_flow_components(nodes: DataFrame, edges: DataFrame, cfg: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """function_id, node_id, component_id, root, n_nodes, cyclic: of each function's control flow inside its own scope."""
+    scope = cut(function_scope(nodes, edges))
+    one, other = (scope.select("graph_id", "function_id", F.col("node_id").alias(end)) for end in ("source", "target"))
+    own = cfg.select("graph_id", "source", "target").join(one, ["graph_id", "source"]).join(other, ["graph_id", "function_id", "target"])
+    key = F.col("function_id").alias("graph_id")
+    return components(scope.select(key, "node_id"), own.select(key, "source", "target"), small).withColumnRenamed("graph_id", "function_id")
+
+
+def call_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """graph_id, source, target: which function calls which, by call targets, call edges and control flow into calls."""
+    scope = function_scope(nodes, edges).select("graph_id", "function_id", "node_id")
+    calls = nodes.filter("call_target IS NOT NULL").select("graph_id", "node_id", F.col("call_target").alias("target"))
+    flows = edges.filter(F.col("kind").isin(*kinds.CALL) | ((F.col("kind") == "ControlFlow") & (F.col("subkind") == "Call"))).select("graph_id", F.col("source").alias("node_id"), "target")
+    functions = nodes.filter("tag = 'Function'").select("graph_id", F.col("node_id").alias("target"))
+    both = calls.unionByName(flows).join(scope, ["graph_id", "node_id"]).join(functions, ["graph_id", "target"], "left_semi")
+    return both.select("graph_id", F.col("function_id").alias("source"), "target").distinct()
+
+
+def flags(membership: DataFrame) -> DataFrame:
+    """graph_id, acyclic, self_cycles, larger_cycles: of each graph as a whole."""
+    one = membership.filter("cyclic").select("graph_id", "component_id", "n_nodes").distinct()
+    counts = one.groupBy("graph_id").agg(F.count_if(F.col("n_nodes") == 1).alias("self_cycles"), F.count_if(F.col("n_nodes") > 1).alias("larger_cycles"))
+    return membership.select("graph_id").distinct().join(counts, "graph_id", "left").na.fill(0).select("graph_id", (F.col("self_cycles") + F.col("larger_cycles") == 0).alias("acyclic"), "self_cycles", "larger_cycles")

@@ -79,3 +79,25 @@ def feature_cosine(features: DataFrame, pairs: DataFrame) -> DataFrame:
     size = F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))
     score = F.when(size > 0, F.least(F.greatest(dot("x", "y") / size, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
     return pairs.join(a, "a").join(b, "b").select("a", "b", score.alias("score"))
+
+
+def edit_similarity(hist: DataFrame, nodes: DataFrame, edges: DataFrame, pairs: DataFrame, structural: float = 0.7, label: float = 0.3) -> DataFrame:
+    """a, b, score: an estimate of edit distance from the numbers of nodes and edges and the labels' Jaccard."""
+    n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    e = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("e"))
+    size = n.join(e, "graph_id", "left").na.fill(0)
+    x, y = (size.select(F.col("graph_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("e").alias(f"e_{k}")) for k in ("a", "b"))
+    all_ = jaccard(hist, pairs).join(x, "a", "left").join(y, "b", "left").na.fill(0)
+
+    def like(c: str):
+        return 1 - F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) / F.greatest(F.col(f"{c}_a"), F.col(f"{c}_b"), F.lit(1))
+
+    return all_.select("a", "b", (structural * (0.6 * like("n") + 0.4 * like("e")) + label * F.col("score")).alias("score"))
+
+
+def similarity(metric: str, nodes: DataFrame, edges: DataFrame, pairs: DataFrame, **weights: float) -> DataFrame:
+    """a, b, score by the metric's name: jaccard, cosine or edit."""
+    hist = tag_histogram(nodes)
+    if metric == "edit":
+        return edit_similarity(hist, nodes, edges, pairs, **weights)
+    return {"jaccard": jaccard, "cosine": cosine}[metric](hist, pairs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import kinds
+from ..functions.kinds import is_control_flow, is_expression
 from ..plans.fixpoint import bfs, tree_closure
 
 
@@ -68,3 +69,43 @@ def at_offset(nodes: DataFrame, offsets: DataFrame, width: int, scopes_only: boo
     found = overlapping(covering, points, width)
     best = found.groupBy("graph_id", F.col("range_id").alias("offset")).agg(F.min(F.struct((F.col("n_end") - F.col("n_start")).alias("size"), "node_id")).alias("best"))
     return best.select("graph_id", "offset", F.col("best.node_id").alias("node_id"))
+
+
+def function_scope(nodes: DataFrame, edges: DataFrame, nested: bool = False) -> DataFrame:
+    """graph_id, function_id, node_id: the nodes below each function, with itself; nested functions end the scope, unless
+    they are wanted."""
+    down = edges.filter("kind = 'AstChild'").select("graph_id", "source", "target")
+    functions = nodes.filter("tag = 'Function'").select("graph_id", F.col("node_id"))
+    if not nested:
+        down = down.join(functions.withColumnRenamed("node_id", "target"), ["graph_id", "target"], "left_anti")
+    step = down.select(F.struct("graph_id", F.col("source").alias("n")).alias("src"), F.struct("graph_id", F.col("target").alias("n")).alias("dst"))
+    seeds = functions.select(F.struct("graph_id", F.col("node_id").alias("n")).alias("seed")).withColumn("node", F.col("seed"))
+    return bfs(step, seeds).select("seed.graph_id", F.col("seed.n").alias("function_id"), F.col("node.n").alias("node_id"))
+
+
+def _among(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges with both ends among a function's members, by function."""
+    one, other = (members.select("graph_id", "function_id", F.col("node_id").alias(end)) for end in ("source", "target"))
+    return edges.join(one, ["graph_id", "source"]).join(other, ["graph_id", "function_id", "target"])
+
+
+def function_cfg(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, function_id, node_id), edges by function: of each function itself and what controls flow or is an
+    expression below it."""
+    tags = nodes.select("graph_id", "node_id", "tag")
+    scope = function_scope(nodes, edges, True).join(tags, ["graph_id", "node_id"])
+    kept = scope.filter((F.col("node_id") == F.col("function_id")) | is_control_flow() | is_expression()).select("graph_id", "function_id", "node_id")
+    return kept, _among(kept, edges)
+
+
+def function_dfg(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of what lies below each function, itself left out, and has a data-flow edge."""
+    flow = edges.filter("kind = 'DataFlow'")
+    ends = flow.select("graph_id", F.col("source").alias("node_id")).unionByName(flow.select("graph_id", F.col("target").alias("node_id"))).distinct()
+    kept = function_scope(nodes, edges, True).filter("node_id <> function_id").join(ends, ["graph_id", "node_id"], "left_semi").select("graph_id", "function_id", "node_id")
+    return kept, _among(kept, edges)
+
+
+def parents(nodes: DataFrame) -> DataFrame:
+    """graph_id, node_id, parent, by the nodes' own pointers."""
+    return nodes.filter("parent IS NOT NULL").select("graph_id", "node_id", "parent")
