@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, WordHash, batches_by, rows_of, signed, text_bytes, tune, window_hashes
+from .common import Shared, batches_by, hashed_words, rows_of, signed, text_bytes, tune, window_hashes
 from .components import components
 
 SHINGLE = 5
@@ -55,7 +55,6 @@ _A = _rng.integers(0, 1 << 63, MINIMA, np.uint64) << np.uint64(1) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, MINIMA, np.uint64)
 #: Which minima the bands read in turn: every minimum once in the first half of the bands, once in the second.
 _BAND_ORDER = np.concatenate([np.arange(MINIMA), _rng.permutation(MINIMA)])
-_WORDS = WordHash()
 
 
 def band_rows(percent: int) -> np.ndarray:
@@ -70,13 +69,16 @@ def least_agreement(percent: int) -> float:
     return j - DEVIATIONS * math.sqrt(j * (1 - j) / MINIMA)
 
 
-def shingle_set(data: bytes | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a text."""
-    words = (data or b"").lower().split()
-    if not words:
+def shingles_of(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes of a text's word hashes."""
+    if not len(words):
         return np.empty(0, np.uint64)
-    hashes = _WORDS.of(words)
-    return np.unique(window_hashes(hashes, min(size, len(words))))
+    hashes = np.sort(window_hashes(words, min(size, len(words))))
+    return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))]
+
+
+def shingle_set(data: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    return shingles_of(next(hashed_words([data], True)), size)
 
 
 def set_digest(shingles: np.ndarray) -> bytes:
@@ -95,29 +97,30 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls, signature; a signature only for the first row of a class in a task."""
+    """doc_id, key, n_shingles, cls, signature; a signature only for the first row of a class in a task."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            schema = pa.schema([("doc_id", batch.schema.field(0).type), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("signature", pa.binary())])
+            schema = pa.schema([("doc_id", batch.schema.field(0).type), ("key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("signature", pa.binary())])
 
             def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
-                for doc, data in rows_of([batch]):
-                    s = shingle_set(data)
+                keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for (doc, key), words in zip(keys, hashed_words((x.as_py() for x in batch.column(2)), True), strict=True):
+                    s = shingles_of(words)
                     if not len(s):
-                        yield doc, 0, None, None
+                        yield doc, key, 0, None, None
                         continue
                     cls = set_digest(s)
                     new = cls not in seen
                     if new and len(seen) < 1_000_000:
                         seen.add(cls)
-                    yield doc, len(s), cls, signature(s).tobytes() if new else None
+                    yield doc, key, len(s), cls, signature(s).tobytes() if new else None
 
             yield from batches_by(rows(), schema)
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, cls binary, signature binary")
+    return docs.mapInArrow(run, f"doc_id {id_type}, key bigint, n_shingles bigint, cls binary, signature binary")
 
 
 def _banded(classes: DataFrame, percent: int) -> DataFrame:
@@ -146,9 +149,9 @@ def _near(a: str, b: str, percent: int):
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree well enough, with a document of each."""
-    left = classes.select(F.col("cls").alias("a"), F.col("doc").alias("a_doc"), F.col("signature").alias("a_sig"))
-    right = classes.select(F.col("cls").alias("b"), F.col("doc").alias("b_doc"), F.col("signature").alias("b_sig"))
+    """Pairs (a, b) whose signatures agree well enough, with a row (doc, key) of each."""
+    left = classes.select(F.col("cls").alias("a"), F.struct("doc", "key").alias("a_row"), F.col("signature").alias("a_sig"))
+    right = classes.select(F.col("cls").alias("b"), F.struct("doc", "key").alias("b_row"), F.col("signature").alias("b_sig"))
     least = least_agreement(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,16 +160,19 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 batch = whole.slice(start, 1024)
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA) for c in ("a_sig", "b_sig"))
                 good = (x == y).mean(axis=1) >= least
-                yield batch.select(["a", "b", "a_doc", "b_doc"]).filter(pa.array(good))
+                yield batch.select(["a", "b", "a_row", "b_row"]).filter(pa.array(good))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_doc", "b_doc", "a_sig", "b_sig")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "a_row", "b_row", "a_sig", "b_sig")
     return joined.mapInArrow(run, joined.drop("a_sig", "b_sig").schema)
 
 
-def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among `ids`, and a few others: ids are held as one bit each in a map of fixed size."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).cast("bigint")
-    words = ids.select(spot.alias("k")).groupBy((F.col("k") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(k, 32)))")).alias("bits"))
+def _some(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that are among `rows` (doc, key), and a few others: rows are held as one bit each in a map of fixed
+    size. Of rows without an id one of each text is enough."""
+    def spot(doc: str):
+        return F.pmod(F.xxhash64(doc, "key"), F.lit(1 << MAP_BITS)).cast("bigint")
+
+    words = rows.select(spot("doc").alias("k")).groupBy((F.col("k") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(pmod(k, 32)))")).alias("bits"))
     found = words.toArrow()  # at most 2^MAP_BITS / 32 rows
     bits = np.zeros(1 << MAP_BITS - 5, np.uint32)
     bits[found["w"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
@@ -178,16 +184,21 @@ def _some(docs: DataFrame, ids: DataFrame) -> DataFrame:
             k = batch.column("_spot").to_numpy()
             yield batch.drop_columns("_spot").filter(pa.array((own[k >> 5] >> (k & 31).astype(np.uint32) & 1).astype(bool)))
 
-    return docs.withColumn("_spot", spot).mapInArrow(run, docs.schema)
+    found = docs.withColumn("_spot", spot("doc_id")).mapInArrow(run, docs.schema)
+    nameless = found.filter("doc_id IS NULL").groupBy("key").agg(F.first("data").alias("data")).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "key", "data")
+    return found.filter("doc_id IS NOT NULL").unionByName(nameless)
+
+
+def _is(row: str):
+    """The condition that a text (doc_id, key) is a row (doc, key)."""
+    return F.col("doc_id").eqNullSafe(F.col(f"{row}.doc")) & (F.col("key") == F.col(f"{row}.key"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of classes whose full sets are similar. Rows that share an id but are of another class don't count."""
-    ids = pairs.select(F.col("a_doc").alias("doc_id")).unionByName(pairs.select(F.col("b_doc").alias("doc_id")))
-    texts = _some(docs, ids)
-    left = texts.select(F.col("doc_id").alias("a_doc"), F.col("data").alias("a_data"))
-    right = texts.select(F.col("doc_id").alias("b_doc"), F.col("data").alias("b_data"))
-    joined = pairs.join(right, "b_doc").select("a", "b", "a_doc", "b_data").join(left, "a_doc").select("a", "b", "a_data", "b_data")
+    """Pairs (u, v) of classes whose full sets are similar."""
+    texts = _some(docs, pairs.select("a_row.*").unionByName(pairs.select("b_row.*")))
+    joined = pairs.join(texts, _is("b_row")).select("a", "b", "a_row", F.col("data").alias("b_data"))
+    joined = joined.join(texts, _is("a_row")).select("a", "b", F.col("data").alias("a_data"), "b_data")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: OrderedDict[bytes, np.ndarray] = OrderedDict()
@@ -232,10 +243,9 @@ def _within_groups(rows: DataFrame, classes: DataFrame, docs: DataFrame, shared:
     by_comp = placed.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("size"))
     main = by_comp.groupBy("grp").agg(F.max(F.struct("size", "comp")).alias("m"), F.sum("size").alias("all"))
     grid = main.select("grp", F.col("m.comp").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("m.size")) / OUTSIDE_BLOCK).cast("int").alias("outside_blocks"))
-    placed = shared.write(placed.join(grid, "grp").join(classes.select("cls", F.col("doc").alias("doc_id")), "cls"), "placed")
+    placed = shared.write(placed.join(grid, "grp").join(classes.select("cls", F.struct("doc", "key").alias("row")), "cls"), "placed")
     spot = F.xxhash64("cls")
-    texts = _some(docs, placed.select("doc_id"))
-    with_text = placed.join(texts, "doc_id").withColumns({"_block": F.pmod(spot, F.col("blocks")).cast("int"), "_outside": F.pmod(spot, F.col("outside_blocks")).cast("int")})
+    with_text = placed.join(_some(docs, placed.select("row.*")), _is("row")).withColumns({"_block": F.pmod(spot, F.col("blocks")).cast("int"), "_outside": F.pmod(spot, F.col("outside_blocks")).cast("int")})
     all_ = with_text.select("grp", "_block", F.explode(F.sequence(F.lit(0), F.col("outside_blocks") - 1)).alias("_outside"), F.lit(False).alias("asks"), "cls", "comp", "data")
     outside = with_text.filter(F.col("comp") != F.col("main")).select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_block"), "_outside", F.lit(True).alias("asks"), "cls", "comp", "data")
 
@@ -270,9 +280,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     spark = documents.sparkSession
     tune(spark)
     shared = Shared(spark, "near-dup")
-    docs = documents.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("data"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), text_bytes(text_col).alias("data"))
     rows = shared.write(_signed(docs), "rows")
-    classes = shared.write(rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("signature", ignorenulls=True).alias("signature")), "classes")
+    classes = shared.write(rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), "key")).alias("r"), F.first("n_shingles").alias("n"), F.first("signature", ignorenulls=True).alias("signature")).select("cls", "r.doc", "r.key", "n", "signature"), "classes")
     banded = _banded(classes, percent)
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = shared.write(banded.join(sizes, "bucket"), "members")

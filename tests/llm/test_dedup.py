@@ -61,6 +61,17 @@ def test_near_duplicates_against_full_comparison(spark, monkeypatch, small):
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_without_ids_link(spark):
+    rnd = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(base)), (None, " ".join(edited(rnd, base, 2))), (None, " ".join(edited(rnd, base, 2))), (9, " ".join(edited(rnd, base, 2)))]
+    other = [f"u{k}" for k in range(200)]
+    rows += [(None, " ".join(other)), (None, " ".join(other)), (None, " ".join(edited(rnd, other, 1)))]
+    rows += [(5, "one text of this id with more words"), (5, " ".join(edited(rnd, base, 1)))]
+    got = near_dup.near_duplicates(spark.createDataFrame([(d, t, 0, "x") for d, t in rows], DOC)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(near_brute(rows))
+
+
 def test_a_group_linked_only_in_a_chain(spark):
     """Each text is near the next one only, so the hub of a bucket misses most links."""
     rnd = random.Random(11)
