@@ -149,6 +149,33 @@ def test_repeats_against_full_comparison(spark, operator, length):
     assert operator(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("operator,length", [(repeats.substring, 13), (repeats.suffix, 50)])
+def test_repeats_of_one_id_and_without_ids(spark, operator, length):
+    """Rows that share an id, or have none, are judged each by its own text."""
+    rnd = random.Random(length)
+    own = lambda n: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(n))
+    shared = own(length + 5)
+    rows = [(1, shared), (7, shared)] + [(7, own(length + 9)) for _ in range(300)] + [(None, own(length + 9)) for _ in range(300)]
+    rows += [(None, f"{own(9)} {shared}"), (None, f"{shared} {own(9)}"), (None, own(length) + " é " * 30), (3, " ".join(["w"] * 100_000))]
+    df = spark.createDataFrame([(d, t, 0, "") for d, t in rows], DOC)
+    total = Counter((r.doc_id, r.n_words, r.n, r.kept) for r in operator(df).withColumn("n", repeats.removed_words("removed")).collect())
+    assert total == Counter(repeats_brute(rows, length))
+    with pytest.raises(TypeError):
+        operator(df.selectExpr("string(doc_id) AS doc_id", "text"))
+
+
+def test_neighbours_of_the_suffix_array(spark):
+    """Suffixes are compared over their words, in lexicographic order, whatever the range partitions."""
+    rnd = random.Random(5)
+    rows = [(" ".join(rnd.choice("abc") for _ in range(4)).encode(), rnd.randrange(9), k, k, False, True) for k in range(400)]
+    df = spark.createDataFrame(rows, repeats._SUFFIX)
+    docs = defaultdict(set)
+    for s, d, *_ in rows:
+        docs[s].add(d)
+    got = {(r.doc, r.row, r.at) for r in repeats._neighbours(df, 7).collect()}
+    assert got == {(d, r, a) for s, d, r, a, *_ in rows if len(docs[s]) > 1}
+
+
 @pytest.mark.parametrize("most", [100_000, 40])
 def test_leaks_in_any_number_of_blocks(spark, most):
     rnd = random.Random(9)
