@@ -142,10 +142,8 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_
     counts = docs.join(marks, "_id").select("_stratum", "_good", F.explode(steps).alias("_s")).groupBy("_stratum", F.col("_s.rule").alias("rule"), F.col("_s.step").alias("step")).agg(F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad"))
     # from here on there are at most strata * rules * (STEPS + 2) rows
     grid = counts.groupBy("_stratum", "rule").agg(F.sum("good").alias("n_good")).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS))))
-    s = F.col("_stratum").eqNullSafe(F.col("g._stratum")) & (F.col("rule") == F.col("g.rule")) & (F.col("step") == F.col("g.step"))
     so_far = W.partitionBy("_stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     table = grid.join(counts.select(F.col("_stratum").alias("_g"), F.col("rule").alias("_r"), F.col("step").alias("_n"), "good", "bad"), F.col("_stratum").eqNullSafe(F.col("_g")) & (F.col("rule") == F.col("_r")) & (F.col("step") == F.col("_n")), "left").drop("_g", "_r", "_n")
-    del s
     table = table.withColumn("lost_good", F.coalesce(F.sum("good").over(so_far), F.lit(0))).withColumn("caught_bad", F.coalesce(F.sum("bad").over(so_far), F.lit(0)))
     strata = counts.agg(F.count_distinct(F.coalesce(F.col("_stratum").cast("string"), F.lit("\0null"))).alias("_strata"))
     level = F.log(F.lit(error / len(RULES)) / F.greatest(F.col("_strata"), F.lit(1)))
@@ -173,14 +171,23 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang", into:
     return joined.withColumn("_kept", passes).drop("_cut", "_cutoffs")
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", label_col: str = "quality", keep_text: bool = False, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """The documents with `_measures` and `_kept`.
+def _judged(held: DataFrame, labels: DataFrame, label_col: str, risk: float, error: float) -> DataFrame:
+    """held: id, stratum, text and whatever is to be kept. The measured table is written once to the shared folder, as both
+    the calibration and the verdict read it."""
+    shared = Shared(held.sparkSession, "quality")
+    measured = shared.write(measure(held, "text").drop("text"), "measured")
+    cutoffs = shared.write(calibrate(measured, labels, "stratum", "id", label_col, risk, error), "cutoffs")
+    return judge(measured, cutoffs, "stratum")
 
-    The measured table is written once to the shared folder, as both the calibration and the verdict read it;
-    without `keep_text` only id and stratum go with the measures.
-    """
-    shared = Shared(docs.sparkSession, "quality")
-    columns = docs.columns if keep_text else list(dict.fromkeys((id_col, stratum)))
-    measured = shared.write(measure(docs, text_col).select(*columns, "_measures"), "measured")
-    cutoffs = shared.write(calibrate(measured, labels, stratum, id_col, label_col, risk, error), "cutoffs")
-    return judge(measured, cutoffs, stratum)
+
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", label_col: str = "quality", risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """id, stratum, `_measures` and `_kept` of every document."""
+    held = docs.select(F.col(id_col).alias("id"), F.col(stratum).alias("stratum"), F.col(text_col).alias("text"))
+    found = _judged(held, labels.select(F.col(id_col).alias("id"), label_col), label_col, risk, error)
+    return found.select(F.col("id").alias(id_col), F.col("stratum").alias(stratum), "_measures", "_kept")
+
+
+def passed(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", label_col: str = "quality", risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """The documents that are kept, with all their columns, whatever their names."""
+    held = docs.select(F.col(id_col).alias("id"), F.col(stratum).alias("stratum"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("doc"))
+    return _judged(held, labels.select(F.col(id_col).alias("id"), label_col), label_col, risk, error).filter("_kept").select("doc.*")

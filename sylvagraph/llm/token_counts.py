@@ -1,28 +1,31 @@
 """Token counts behind a digest cache.
 
 Every text is known by the digest of its normalised content (UTF-8 bytes, null as empty; the tokenizer's own
-normaliser stays in the tokenizer). Digests are joined to the cache, a Parquet table of (tokenizer digest, content
-digest, n_tokens) in the shared folder or at a given path; only distinct misses are encoded and appended.
+normaliser stays in the tokenizer). Digests are joined to the cache, Parquet tables of (content digest, n_tokens) below
+a folder for each tokenizer's digest, in the shared folder or at a given path; only distinct misses are encoded and
+appended. Each run appends a folder of its own, so runs side by side don't disturb each other, and a run that fails
+leaves nothing that is read; a digest that two runs have counted is taken once.
 
 Within a worker, the text is cut where no merge can reach across: before a run of space marks, if no piece of the
 vocabulary has a space mark after another character, and at line ends, if no piece holds one. The counts of such
 segments are remembered. A vocabulary without these properties is used on whole texts.
 
 Defined cases: null and empty texts have 0 bytes and the count that the library gives for the empty text; repeated
-rows give a row each and are encoded once; an empty table appends nothing.
+rows give a row each and are encoded once; an empty table appends no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, batches_by, rows_of, text_bytes, tune
+from .common import batches_by, rows_of, shared_dir, text_bytes, tune
 
 MOST_SEGMENTS = 400_000
 SPACE_MARK = "▁"
@@ -121,21 +124,17 @@ def count_tokens(docs: DataFrame, path: str, cache_path: str | None = None, id_c
     """id, n_bytes and n_tokens of every row; appends what the cache lacked."""
     spark = docs.sparkSession
     tune(spark)
-    cache_path = cache_path or Shared(spark, "token-cache").path("counts")
-    version = tokenizer_digest(path)
-    schema = "tokenizer string, digest binary, n_tokens bigint"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    folder = f"{cache_path or shared_dir(spark) + '/token-cache'}/{tokenizer_digest(path)}"
+    schema = "digest binary, n_tokens bigint"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def cache() -> DataFrame:
-        read = spark.read.schema(schema).parquet(cache_path) if fs.exists(fs_path) else spark.createDataFrame([], schema)
-        return read.filter(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+        return spark.read.schema(schema).parquet(f"{folder}/*").groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
 
     texts = docs.select(content_digest(text_col).alias("digest"), F.coalesce(text_bytes(text_col), F.lit(b"")).alias("data"))
     texts = texts.mapInArrow(_once, texts.schema)
-    known = cache()
-    misses = texts.join(known, "digest", "left_anti") if fs.exists(fs_path) else texts
-    counted = count_misses(misses.repartition("digest"), path)
-    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    misses = texts.join(cache(), "digest", "left_anti") if fs.exists(fs_path) else texts
+    count_misses(misses.repartition("digest"), path).write.parquet(f"{folder}/{uuid.uuid4().hex}")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("n_bytes"), content_digest(text_col).alias("digest"))
     return rows.join(cache(), "digest").select("doc_id", "n_bytes", "n_tokens")

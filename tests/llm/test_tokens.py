@@ -108,13 +108,25 @@ def test_cache(spark, tmp_path, monkeypatch):
     for _ in range(2):
         got = token_counts.count_tokens(df, MODEL, path)
         assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got.collect()) == expected
-        assert spark.read.parquet(path).count() == 3
+        assert spark.read.parquet(f"{path}/*/*").count() == 3
     more = df.unionByName(spark.createDataFrame([(9, "new", "")], df.schema))
     assert token_counts.count_tokens(more, MODEL, path).count() == 6
-    assert spark.read.parquet(path).count() == 4
+    assert spark.read.parquet(f"{path}/*/*").count() == 4
     assert token_counts.count_tokens(df.limit(0), MODEL, path).count() == 0
 
 
+def test_a_second_run_of_the_query_encodes_nothing(spark, tmp_path, monkeypatch):
+    from sylvagraph.llm import queries
+
+    spark.createDataFrame([(k, f"text {k % 7}") for k in range(30)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(token_counts, "shared_dir", lambda _: str(tmp_path / "shared"))
+    first = sorted(map(tuple, queries.op3_token_counts(spark, str(tmp_path)).collect()))
+    sizes = lambda: sorted(spark.read.schema("digest binary").parquet(str(x)).count() for x in (tmp_path / "shared").glob("token-cache/*/*"))
+    assert sizes() == [7]
+    assert sorted(map(tuple, queries.op3_token_counts(spark, str(tmp_path)).collect())) == first
+    assert sizes() == [0, 7]
+
+
 def test_chat(spark):
     from sylvagraph.llm import chat
 
