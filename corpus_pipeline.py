@@ -1,7 +1,8 @@
 """Five stages over `documents`: quality rules, line deduplication, near-duplicates, decontamination, tokenising.
 
 Each stage gets all that the one before kept. A stage defines its nulls, repeats and empty tables as its operator does;
-besides, of rows that repeat a doc_id together with its text, near-duplicate removal keeps one.
+besides, of rows that repeat a doc_id together with its text, near-duplicate removal keeps one. All stages but the last
+keep all columns, whatever their names; the last gives ids and digests, without text, n_chars and further columns.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvagraph.llm import bpe, decontaminate, line_templates, near_dup, quality
-from sylvagraph.llm.common import shared_dir, table
+from sylvagraph.llm.common import fresh, shared_dir, table
 from sylvagraph.llm.queries import BPE_RANKS
 
 #: Texts of at least this similarity, in hundredths, are near-duplicates here; op2_near_dup has a contract of its own.
@@ -22,30 +23,31 @@ NEAR_PERCENT = 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a base rule or a certified cutoff rejects go."""
-    judged = quality.quality(docs, table(spark, sf_dir, "labels"), keep_text=True)
-    return judged.filter("_kept").select(*docs.columns)
+    return quality.passed(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; all documents stay."""
-    cut = line_templates.drop_templates(docs)
+    dropped = fresh(docs.columns, "_dropped")
+    cut = line_templates.drop_templates(docs, into=dropped)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", F.when(F.size("_dropped") > 0, length).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.size(dropped) > 0, length).otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays."""
-    kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return found.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select(F.col("doc_id").alias("kept")).distinct()
+    held = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"))
+    return held.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["id", "key"]).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("_leaks.spans") == 0).select(*docs.columns)
+    leaks = fresh(docs.columns, "_leaks")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), into=leaks)
+    return found.filter(F.size(f"{leaks}.spans") == 0).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
