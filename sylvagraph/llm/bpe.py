@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 from .common import fresh, text_bytes, tune
 
 #: Remembered steps and token pairs of the transducer, and remembered pieces, of one worker.
-MOST_STEPS = 400_000
-MOST_PAIRS = 400_000
-MOST_PIECES = 400_000
+MOST_STEPS = 200_000
+MOST_PAIRS = 200_000
+MOST_PIECES = 180_000
 #: Bytes that are read before settled tokens are looked for.
 HELD = 512
 #: Tokens that decoding takes at a time.
@@ -255,6 +255,12 @@ class Pieces(dict):
         return packed
 
 
+    def forget(self) -> None:
+        """Empties the memo: a worker that waits should hold little."""
+        self.older = {}
+        self.clear()
+
+
 class Encoder:
     """Whole texts -> packed ids."""
 
@@ -384,6 +390,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids], names=[*kept, into])
+        encoder.pieces.forget()
 
     return source.mapInArrow(run, schema)
 
