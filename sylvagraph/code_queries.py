@@ -334,9 +334,10 @@ SLOT_SQL = "CASE WHEN tag = 'Function' THEN 3 WHEN tag = 'Variable' THEN 4 WHEN
 @query("initial_embeddings", f"""WITH {CODE_SQL}, x AS (SELECT n, {SLOT_SQL} AS slot, unnest(range(0, 20)) AS i FROM cn)
 SELECT n AS node_id, round(sum((i + 1) * ((((n * 7919 + i * 104729 + (n % 1009) * i * 31 + 3) % 65537) / 65537 * 0.2 - 0.1) + CASE WHEN i = slot THEN 1 ELSE 0 END)), 6) AS checksum, any_value(slot)::INT AS slot FROM x GROUP BY n""")
 def initial_embeddings(spark, sf_dir):
-    nodes = _code(spark, sf_dir)[0]
-    e = embeddings.initial(nodes, 20, 3).join(nodes.select("graph_id", "node_id", embeddings.type_slot(F.col("tag")).alias("slot")), ["graph_id", "node_id"])
-    total = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    e = embeddings.initial(_code(spark, sf_dir)[0], 20, 3)
+    total = F.lit(0.0)
+    for i in range(20):
+        total = total + F.get("embedding", F.lit(i)) * (i + 1)
     return e.select("node_id", F.round(total, 6).alias("checksum"), "slot")
 
 

@@ -60,7 +60,13 @@ def type_slot(tag: Column) -> Column:
 
 
 def initial(nodes: DataFrame, dim: int = DIM, seed: int = 0) -> DataFrame:
-    """graph_id, node_id, embedding: numbers in [-0.1, 0.1) that depend on node, place and seed alone, and 1 more at the
-    slot of the node's type, if there is such a place."""
-    noise = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")), lambda i: F.pmod(F.col("node_id") * 7919 + i * 104_729 + (F.col("node_id") % 1009) * i * 31 + seed, F.lit(65_537)) / 65_537 * 0.2 - 0.1)
-    return nodes.select("graph_id", "node_id", F.transform(noise, lambda x, i: x + F.when(i == type_slot(F.col("tag")), 1.0).otherwise(0.0)).alias("embedding"))
+    """graph_id, node_id, slot, embedding: numbers in [-0.1, 0.1) that depend on node, place and seed alone, and 1 more at
+    the slot of the node's type, if there is such a place.
+
+    The lambda reads no column of its surroundings: where Spark compares plans it numbers lambda variables from 0 and takes
+    a column of the same number, as the first ones of a session have, for one of them; joins over unions then fail."""
+    node, slot = F.col("node_id").cast("bigint"), type_slot(F.col("tag"))
+    first, step, far = node * 7919 + seed, node % 1009 * 31 + 104_729, F.lit(dim - 1).cast("bigint")
+    mixed, places = F.sequence(first, first + step * far, step), F.sequence(-slot.cast("bigint"), far - slot, F.lit(1).cast("bigint"))
+    vector = F.zip_with(mixed, places, lambda x, i: F.pmod(x, F.lit(65_537)) / 65_537 * 0.2 - 0.1 + F.when(i == 0, 1.0).otherwise(0.0))
+    return nodes.select("graph_id", "node_id", slot.alias("slot"), vector.alias("embedding"))
